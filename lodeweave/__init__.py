@@ -1 +1,8 @@
 """Spark-native engine from nested XML to model-ready tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
