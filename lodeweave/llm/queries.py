@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeweave.llm import decontam, packing, sharding, simhash, suffix_dedup
-from lodeweave.llm.common import table
+from lodeweave.llm import decontam, langid, packing, quality, sharding, simhash, suffix_dedup
+from lodeweave.llm.common import cut, fold, table
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut(quality.described(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    model = quality.learn(stats, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return quality.scored(stats, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, fold(F.col("doc_id"), 4) != 2)
+    return langid.identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -30,6 +43,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op4_suffix_dedup, op6_simhash_components, op9_best_fit_packing, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_language_id, op4_suffix_dedup, op6_simhash_components, op8_quality_scores, op9_best_fit_packing, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
