@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontam, langid, packing, quality, sharding, simhash, suffix_dedup
+from lodeweave.llm import decontam, langid, line_dedup, packing, quality, sharding, simhash, suffix_dedup
 from lodeweave.llm.common import cut, fold, table
 
 
@@ -35,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_language_id, op4_suffix_dedup, op6_simhash_components, op8_quality_scores, op9_best_fit_packing, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_simhash_components, op8_quality_scores, op9_best_fit_packing, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
