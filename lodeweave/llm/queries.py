@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontam, langid, line_dedup, packing, quality, sharding, simhash, suffix_dedup
+from lodeweave.llm import decontam, langid, licenses, line_dedup, media, packing, quality, sharding, simhash, suffix_dedup
 from lodeweave.llm.common import cut, fold, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(quality.described(table(spark, sf_dir, "documents").select("doc_id", "text")))
     model = quality.learn(stats, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
@@ -47,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_simhash_components, op8_quality_scores, op9_best_fit_packing, op10_decontamination)}
+ALL = (op1_license_scan, op2_hilbert_shards, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_simhash_components, op7_media_columns, op8_quality_scores, op9_best_fit_packing, op10_decontamination)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodeweave.llm import line_dedup
+from lodeweave.llm import alignment, line_dedup
 from tests.conftest import DATA
 
 
@@ -61,10 +61,10 @@ def test_whole_table_against_brute_force(spark):
 
 @given(st.lists(st.integers(0, 9), max_size=25), st.lists(st.integers(0, 9), max_size=25))
 def test_alignment(a, b):
-    pairs = line_dedup.patience(a, b)
+    pairs = alignment.patience(a, b)
     assert all(a[i] == b[j] for i, j in pairs)
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-    assert len(line_dedup.patience(a, a)) == len(a)
+    assert len(alignment.patience(a, a)) == len(a)
     if len(set(a)) == len(a) and len(set(b)) == len(b):
         best = max((sum(m.size for m in SequenceMatcher(None, a, b, False).get_matching_blocks()), 0))
         assert len(pairs) >= best - 25 and bool(pairs) == bool(set(a) & set(b))
@@ -72,7 +72,7 @@ def test_alignment(a, b):
 
 @given(st.lists(st.integers(0, 30), max_size=30))
 def test_increasing_is_longest(places):
-    got = [places[i] for i in line_dedup.increasing(places)]
+    got = [places[i] for i in alignment.increasing(places)]
     assert all(x < y for x, y in zip(got, got[1:]))
     best = [0] * len(places)
     for i, p in enumerate(places):
