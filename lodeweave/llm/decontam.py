@@ -116,7 +116,7 @@ def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
                 w = words(text.as_py())
                 if len(known) > 500_000:
                     known.clear()
-                known.update((x, sieved[crc32(x) % SIEVE_BITS]) for x in {*w} - known.keys())
+                known.update([(x, sieved[crc32(x) % SIEVE_BITS]) for x in {*w} if x not in known])
                 sizes.append(len(w))
                 lists.append([{"term": w[i].decode(), "at": i, "lead": min(i, reach), "near": [x.decode() for x in w[max(0, i - reach) : i + reach + 1]]} for i, x in enumerate(w) if known[x]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "key", "n_words", "postings"])
