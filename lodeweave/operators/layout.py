@@ -68,12 +68,12 @@ def cell_bits(cell: Column, high: bool = True) -> Column:
 
 def morton_ref(cell: Column, date_id: Column) -> Column:
     """Morton key of the low bits of the cell's index and of date_id; 16 bits of each count."""
-    return morton(cell_bits(cell, high=False), date_id)
+    return morton(date_id, cell_bits(cell, high=False))
 
 
 def morton_cell(cell: Column, day: Column) -> Column:
     """Morton key of the cell's leading bits and the days since 1970: tells cells of resolution 3 and days apart."""
-    return morton(cell_bits(cell), F.unix_date(day.cast("date")))
+    return morton(F.unix_date(day.cast("date")), cell_bits(cell))
 
 
 def zorder(df: DataFrame, key: Column, partitions: int | None = None) -> DataFrame:

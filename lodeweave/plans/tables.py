@@ -76,12 +76,12 @@ def _cells(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("831c"), F.lower(F.hex(k % 16)), F.lit("ffffffffff")).alias("h3_res3"), (20250000 + k % 365).alias("date_id"), "o_orderdate")
 
 
-@query(f"SELECT o_orderkey, CAST(({spread_sql('65535')}) + (({spread_sql('(20250000 + o_orderkey % 365) & 65535')}) << 1) AS BIGINT) AS z_key FROM orders")
+@query(f"SELECT o_orderkey, CAST((({spread_sql('CAST(65535 AS BIGINT)')}) << 1) + ({spread_sql('(20250000 + o_orderkey % 365) & 65535')}) AS BIGINT) AS z_key FROM orders")
 def lay01_morton_ref(spark, sf_dir):
     return _cells(spark, sf_dir).select("o_orderkey", layout.morton_ref(F.col("h3_res3"), F.col("date_id")).alias("z_key"))
 
 
-@query(f"{_CELLS} SELECT o_orderkey, '831c' || substr('0123456789abcdef', CAST(d + 1 AS INTEGER), 1) || 'ffffffffff' AS h3_res3, CAST(({spread_sql('(7183 + d * 16)')}) + (({spread_sql("date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) & 65535")}) << 1) AS BIGINT) AS z_key FROM c")
+@query(f"{_CELLS} SELECT o_orderkey, '831c' || substr('0123456789abcdef', CAST(d + 1 AS INTEGER), 1) || 'ffffffffff' AS h3_res3, CAST((({spread_sql('(7183 + d * 16)')}) << 1) + ({spread_sql("date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) & 65535")}) AS BIGINT) AS z_key FROM c")
 def lay02_zorder(spark, sf_dir):
     """Rows in ranges of a key that tells cells and days apart; sorted within each."""
     return layout.zorder(_cells(spark, sf_dir), layout.morton_cell(F.col("h3_res3"), F.col("o_orderdate"))).select("o_orderkey", "h3_res3", "z_key")
