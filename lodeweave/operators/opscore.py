@@ -72,11 +72,11 @@ def gap_segments(df: DataFrame) -> DataFrame:
     return df.withColumns({"seg_pos": F.row_number().over(_segments()) - 1, "seg_len": F.count(F.lit(1)).over(Window.partitionBy("h3_cell", "seg_id"))})
 
 
-def ewma(df: DataFrame, averages: dict[str, tuple[str, float, bool]]) -> DataFrame:
+def ewma(df: DataFrame, averages: dict[str, tuple[str, float, bool]], dealt: bool = False) -> DataFrame:
     """Moving averages y = (1 - a) y' + a x, skipping nulls: {name: (column, a, restarts at each segment)}.
 
     Rows are hashed by cell and sorted by time; the averages run on from batch to batch, so a cell of any
-    length is never gathered.
+    length is never gathered. dealt: the rows of a cell are in one partition already.
     """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{k}` double" for k in averages])
 
@@ -100,7 +100,7 @@ def ewma(df: DataFrame, averages: dict[str, tuple[str, float, bool]]) -> DataFra
                     out[k].append(state.get(k))
             yield batch.assign(**{k: pd.Series(v, index=batch.index, dtype="float64") for k, v in out.items()})
 
-    return df.repartition("h3_cell").sortWithinPartitions("h3_cell", "timestamp").mapInPandas(run, schema)
+    return (df if dealt else df.repartition("h3_cell")).sortWithinPartitions("h3_cell", "timestamp").mapInPandas(run, schema)
 
 
 def _spread(c: str, w, need: int) -> tuple[Column, Column]:
@@ -159,11 +159,17 @@ def score(df: DataFrame, preset: str = "v2") -> DataFrame:
 
 
 def run(predictions: dict[str, DataFrame], preset: str = "v2", averages: bool = True) -> DataFrame:
-    """Scored rows of three horizons' predictions."""
-    df = join_horizons(predictions)
+    """Scored rows of three horizons' predictions.
+
+    They are dealt by cell once: all windows, and at last all moving averages in one pass, keep to that.
+    """
+    df, p = join_horizons(predictions).repartition("h3_cell"), PRESETS[preset]
+    means = {f"ewma_{h}": (f"pred_{h}", p.alpha, True) for h in HORIZONS}
     if preset == "v2":
-        df = long_baseline(df, averages=averages)
-    return score(dynamics(df, preset, averages), preset)
+        df = long_baseline(df, averages=False)
+        means["ewma_long_1hr"] = ("pred_1hr", p.long_alpha, False)
+    df = dynamics(df, preset, averages=False)
+    return score(ewma(df, means, dealt=True) if averages else df, preset)
 
 
 def write(scored: DataFrame, path: str, fracs: tuple[float, ...] = (0.001, 0.01, 0.05), score_col: str = "ops_score", label_col: str = "label_1hr") -> list[str]:
