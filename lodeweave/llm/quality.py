@@ -168,3 +168,16 @@ def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     kinds = [f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in carried]
     return stats.select(*carried, "stats").mapInArrow(run, ", ".join([*kinds, "score double", "predicted int"]))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores at least `threshold`: one pass over the texts, no exchange."""
+    at = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([statistics(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())], float).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(held.value.score(rows) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
