@@ -2,23 +2,25 @@
 
 Every byte covered by a string of `length` bytes that also starts elsewhere is removed. The starts of
 such strings are found as in building a suffix array: positions get a rank (a name) for the prefix
-that starts there, positions whose rank is unique leave, and the rest are ranked again by a prefix of
-about twice the length, until that passes `length`. Two things make the rounds few and small:
+that starts there, positions whose rank is unique leave, and the rest are ranked again by a longer
+prefix, until that reaches `length`. Two things make the rounds few and small:
 
-- A rank is a 64-bit hash, so it needs no rank from elsewhere and the first round may start at a long
-  prefix: about length / 2, as nothing shorter matters.
+- A rank is a 64-bit hash, so it needs no rank from elsewhere and the first round may begin at a long
+  prefix: about length / 2, as shorter ones leave the same positions.
 - Every start p has an anchor, the place with the least hash of 8 bytes among the next about length / 2.
-  Equal strings have equal anchors, so the first round sorts anchors instead of positions, about one in
-  length / 4: (rank of the anchor's prefix, rank of the string from its first start to its last one's
-  end). The prefix lies in every string with that anchor; if it is unique, all its starts leave.
+  Equal strings have equal anchors, so a round sorts runs of neighbouring starts with one anchor instead
+  of single starts: (rank of the bytes that all strings of the run share, rank of all bytes of the run's
+  strings). The first round has a run for each anchor, about one in length / 4 bytes.
 
-Round two takes the anchors that are left. One whose whole string, of `length` to 1.5 `length` bytes,
-is repeated has only repeated starts. For the others, with one anchor standing for each class of equal
-strings, each start gets the pair (rank of its anchor's prefix, rank of its `length` bytes); the starts
-of a repeated pair are repeated. A pair is 128 bits of hash.
+A round counts equal ranks. A run whose shared bytes are unique leaves: none of its strings is repeated.
+A run whose bytes are repeated as a whole has only repeated strings. What is left goes on, with one run
+standing for each class of equal ones, cut into shorter runs at the same distances from the anchor, so
+that what they share grows: from about length / 2 bytes to length - BIN and then to `length`, where a run
+is one start and its rank decides. Ranks are compared together with the rank of the round before, so
+the last one has 128 bits.
 
 No group is gathered: ranks are counted with partial sums and joined back. Texts are keyed by their
-digest, so that copies share one entry, and are shuffled once.
+digest, so that copies share one entry, and are shuffled once for all rounds and the result.
 
 Defined cases: null text is empty; texts of under `length` bytes stay whole; a repeated row, or a copy,
 is an occurrence elsewhere; strings are judged on the input; a null doc_id is a row like any other; an
@@ -39,6 +41,7 @@ from xxhash import xxh3_64_intdigest
 from lodeweave.llm.common import cut, text_bytes, text_key
 
 GRAM = 8
+BIN = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,55 +68,76 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at[first].astype(np.int64), first, np.concatenate([first[1:] - 1, [starts - 1]])
 
 
-def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """key, lo, n (starts), prefix and whole (ranks) for each anchor of texts (key, text)."""
-    prefix = length - (length // 2 - GRAM) + 1
-    names = ["key", "lo", "n", "prefix", "whole"]
+def _placed(lo: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """A run in one long: first start, number of starts, and how far the anchor lies behind the first start."""
+    return (lo.astype(np.int64) << 32) | (n.astype(np.int64) << 16) | back.astype(np.int64)
+
+
+def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """key, run, rank and whole for the anchors of docs (key, text)."""
+    shared = length - (length // 2 - GRAM) + 1
+    names = ["key", "run", "rank", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, lows, counts, ranks, wholes = [], [], [], [], []
+            of, runs, ranks, wholes = [], [], [], []
             for i, value in enumerate(batch.column(1).cast(pa.binary())):
                 t = value.as_py()
                 if len(t) < length:
                     continue
                 at, lo, hi = anchors(t, length)
                 of += [i] * len(at)
-                lows.append(lo)
-                counts.append(hi - lo + 1)
+                runs.append(_placed(lo, hi - lo + 1, at - lo))
                 for a, p, q in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    ranks.append(xxh3_64_intdigest(t[a : a + prefix]))
+                    ranks.append(xxh3_64_intdigest(t[a : a + shared]))
                     wholes.append(xxh3_64_intdigest(t[p : q + length], a - p))
                 if len(of) > 100_000:
-                    yield emit(batch, of, lows, counts, ranks, wholes)
-                    of, lows, counts, ranks, wholes = [], [], [], [], []
+                    yield emit(batch, of, runs, ranks, wholes)
+                    of, runs, ranks, wholes = [], [], [], []
             if of:
-                yield emit(batch, of, lows, counts, ranks, wholes)
+                yield emit(batch, of, runs, ranks, wholes)
+
+    def emit(batch, of, runs, ranks, wholes):
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(runs)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ranks, wholes))], names)
 
-    def emit(batch, of, lows, counts, ranks, wholes):
-        low, count = (np.concatenate(x).astype(np.int32) for x in (lows, counts))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(low), pa.array(count), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ranks, wholes))], names)
+    return docs.mapInArrow(run, "key binary, run long, rank long, whole long")
 
-    return texts.mapInArrow(run, "key binary, lo int, n int, prefix long, whole long")
 
+def shorter_runs(text: bytes, run: int, length: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """(run, rank, whole) for the parts of a run at each `size` distances from its anchor."""
+    lo, n, back = run >> 32, run >> 16 & 0xFFFF, run & 0xFFFF
+    a = lo + back
+    for part in range((back - n + 1) // size, back // size + 1):
+        near, far = part * size, part * size + size - 1  # distances of the part from the anchor
+        first, last = max(lo, a - far), min(lo + n - 1, a - near)
+        rank = xxh3_64_intdigest(text[a - near : a - far + length])
+        yield (first << 32) | (last - first + 1 << 16) | (a - first), rank, xxh3_64_intdigest(text[first : last + length], a - first) if size > 1 else rank
 
-def _start_rows(asked: DataFrame, length: int) -> DataFrame:
-    """prefix, rank, key, p, single for each start of the asked anchors (key, text, asks: lo, n, prefix, single)."""
-    names = ["prefix", "rank", "key", "p", "single"]
+
+def _shorter_rows(texts: DataFrame, asks: DataFrame, length: int, size: int) -> DataFrame:
+    """key, run, above, rank, whole, single for the parts of the runs in asks (key, asks: run, rank, single)."""
+    names = ["key", "run", "above", "rank", "whole", "single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, asks in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                t, asks = text.as_py(), asks.as_py()
-                for some in range(0, len(asks), 512):
-                    part = asks[some : some + 512]
-                    p = np.concatenate([np.arange(a["lo"], a["lo"] + a["n"], dtype=np.int32) for a in part])
-                    each = [a["n"] for a in part]
-                    rank = np.fromiter((xxh3_64_intdigest(t[i : i + length]) for i in p.tolist()), np.uint64, len(p))
-                    columns = [np.repeat(np.array([a["prefix"] for a in part], np.int64), each), rank.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([key.as_py()] * len(p), pa.binary()), pa.array(p), pa.array(np.repeat(np.array([a["single"] for a in part]), each))], names)
+            of, rows = [], []
+            for i, (text, asked) in enumerate(zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True)):
+                t = text.as_py()
+                for ask in asked.as_py():
+                    made = [(r, ask["rank"], k, w, ask["single"]) for r, k, w in shorter_runs(t, ask["run"], length, size)]
+                    of += [i] * len(made)
+                    rows += made
+                    if len(of) > 100_000:
+                        yield emit(batch, of, rows)
+                        of, rows = [], []
+            if of:
+                yield emit(batch, of, rows)
 
-    return asked.select("key", "text", "asks").mapInArrow(run, "prefix long, rank long, key binary, p int, single boolean")
+    def emit(batch, of, rows):
+        runs, above, rank, whole, single = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(runs, pa.int64()), pa.array(above, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (rank, whole)), pa.array(single)], names)
+
+    return texts.join(asks, "key").select("key", "text", "asks").mapInArrow(run, "key binary, run long, above long, rank long, whole long, single boolean")
 
 
 def cut_spans(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -132,41 +156,53 @@ def cut_spans(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[
     return [(lo, hi) for lo, hi in runs], b"".join(kept)
 
 
-def repeated_starts(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """key, lo, n: runs of starts of repeated strings in the text of each key."""
-    rows = _anchor_rows(docs.select(text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text")), length)
-    ranked = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1")
-    left = cut(rows.join(ranked, "prefix").select("key", "lo", "n", "prefix", "whole", (F.col("_a") == F.col("_b")).alias("same")))
-    mixed = left.where("NOT same")
-    classes = mixed.groupBy("prefix", "whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("key", "lo", "n")).alias("one"))
-    repeated = mixed.join(classes.where("_n > 1").select("prefix", "whole"), ["prefix", "whole"], "left_semi")
-    asks = classes.select("one.key", F.struct("one.lo", "one.n", "prefix", (F.col("_n") == 1).alias("single")).alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
-    starts = _start_rows(texts.join(asks, "key"), length)
-    twice = starts.groupBy("prefix", "rank").count().where("count > 1").select("prefix", "rank")
-    edges = starts.where("single").join(twice, ["prefix", "rank"], "left_semi")
-    whole = left.where("same").select("key", "lo", "n").unionByName(repeated.select("key", "lo", "n")).distinct()
-    return whole.unionByName(edges.select("key", F.col("p").alias("lo"), F.lit(1).alias("n")))
+def _not_unique(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose rank occurs again, and whether all rows of that rank are equal as wholes."""
+    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1")
+    return rows.join(counted, by).select(*rows.columns, (F.col("_a") == F.col("_b")).alias("same"))
+
+
+def _settled(left: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """key, run of those that are repeated as wholes; key, asks of one run for each class of the others.
+
+    single: the run stands for itself alone; others stand for runs already found repeated.
+    """
+    classes = left.where("NOT same").groupBy(*by, "whole").agg(((F.count(F.lit(1)) > 1) | ~F.bool_and("single")).alias("many"), F.min(F.struct("key", "run")).alias("one"))
+    found = left.join(classes.where("many").select(*by, "whole", "many"), [*by, "whole"], "left").where("single AND (same OR many)").select("key", "run")
+    ask = F.struct(F.col("one.run").alias("run"), "rank", (~F.col("many")).alias("single"))
+    return found, classes.select("one.key", ask.alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
+
+
+def repeated_starts(keyed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """key, run: the runs of starts of repeated strings. keyed: key, text of all rows; texts: of each key once."""
+    first = _anchor_rows(keyed, length).withColumn("single", F.lit(True))
+    found, asks = _settled(cut(_not_unique(first, ["rank"])), ["rank"])
+    found = found.distinct()
+    pair = ["above", "rank"]
+    more, asks = _settled(_not_unique(_shorter_rows(texts, asks, length, BIN), pair), pair)
+    last = _not_unique(_shorter_rows(texts, asks, length, 1), pair).where("single").select("key", "run")
+    return found.unionByName(more).unionByName(last)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes also spans and kept (the bytes that are left)."""
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text"))
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text")).where("key IS NOT NULL")
     texts = keyed.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-    spans = repeated_starts(docs, texts, length).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
+    spans = repeated_starts(keyed.select("key", "text"), texts, length).groupBy("key").agg(F.collect_list("run").alias("runs"))
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "kept"] * keep_bytes]
     span = pa.struct([("from", pa.int32()), ("to", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 t = text.as_py()
-                runs, kept = cut_spans(t, [(s["lo"], s["n"]) for s in starts.as_py() or ()], length)
+                runs, kept = cut_spans(t, [(r >> 32, r >> 16 & 0xFFFF) for r in found.as_py() or ()], length)
                 out.append((len(t), len(t) - len(kept), len(runs), sha256(kept).hexdigest(), *[[{"from": a, "to": b} for a, b in runs], kept] * keep_bytes))
             columns = list(zip(*out, strict=True)) or [[]] * (len(names) - 1)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names)
 
     schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<from:int,to:int>>, kept binary" * keep_bytes
-    done = texts.join(spans, "key", "left").select("key", "text", "starts").mapInArrow(run, schema)
+    done = texts.join(spans, "key", "left").select("key", "text", "runs").mapInArrow(run, schema)
     return keyed.select("doc_id", "key").join(done, "key").drop("key")
