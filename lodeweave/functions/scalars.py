@@ -76,11 +76,8 @@ def hex_to_long(text: Column) -> Column:
 
 
 def spread_bits(c: Column) -> Column:
-    """The low 16 bits of c, at the even places of 32."""
-    x = c.bitwiseAND(F.lit(0xFFFF))
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """The low 16 bits of c, at the even places of 32: its binary digits, read as digits of base 4."""
+    return F.conv(F.bin(c.bitwiseAND(F.lit(0xFFFF))), 4, 10).cast("long")
 
 
 def morton(x: Column, y: Column) -> Column:
