@@ -96,6 +96,7 @@ def feature(payload: bytes) -> str:
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = uri.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
