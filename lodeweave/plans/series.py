@@ -214,3 +214,16 @@ def ml02_training_frame(spark, sf_dir):
     l = labels.exclusive(labels.build(_hourly(spark, sf_dir), ("future",), {"6h": 6})).select("timestamp", "h3_res3", "label_exclusive_6h")  # noqa: E741
     splits = {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-15", "2024-01-22"), "test": ("2024-01-22", "2024-01-29")}
     return rounded(f.join(l, ["timestamp", "h3_res3"]).withColumn("split", split_column(splits)))
+
+
+@query()
+def ml03_04_boosted_trees(spark, sf_dir):
+    """Predictions of the test split by trees trained on the train split and stopped by the val split; not expressible in SQL."""
+    from lodeweave.operators import ml
+
+    splits = {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-15", "2024-01-22"), "test": ("2024-01-22", "2024-01-29")}
+    f = features.build(observations(spark, sf_dir), types=TYPES, windows={"6h": 6})
+    l = labels.exclusive(labels.build(_hourly(spark, sf_dir), ("future",), {"6h": 6})).select("timestamp", "h3_res3", "label_exclusive_6h")  # noqa: E741
+    data = ml.dataset(f.join(l, ["timestamp", "h3_res3"]), splits=splits).cache()
+    model = ml.train(data, {"max_depth": 3, "max_bin": 32}, rounds=3)
+    return ml.predict(model, data.where("split = 'test'")).select("label", "prediction")

@@ -186,3 +186,9 @@ def jon09_broadcast_truth(spark, sf_dir):
     """A small truth table, of two rows, sent to every task."""
     truth = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
     return table(spark, sf_dir, "events").join(F.broadcast(truth), F.col("user_id") % 2 == F.col("k")).select("event_id", "name")
+
+
+@query()
+def src10_11_manifest(spark, sf_dir):
+    """The Parquet files below a folder with their sizes; SQL has no listing of files with these columns."""
+    return layout.files(spark, sf_dir).select(F.substring_index("path", "/", -1).alias("name"), "size", "partition_values", "modification_time", "data_change")

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -227,4 +228,4 @@ def test_sources_do_not_need_the_text_part():
     import sys
 
     code = "import sys; sys.modules['lodeweave.llm'] = None; import lodeweave.plans.registry as r; assert len(r.QUERIES) > 60"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd="/root/repo")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
