@@ -73,7 +73,7 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame
     sequences = cut(_lines(docs).groupBy("key").agg(F.first(F.struct("lines", "words")).alias("s")).select("key", "s.*").join(groups, "key"))
 
     each = sequences.select("key", "first", F.inline(F.arrays_zip("lines", "words"))).where(F.col("words") >= min_words).select("key", "first", F.col("lines").alias("line")).distinct()
-    held = each.groupBy("line").agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = cut(each.groupBy("line").agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("df")).where("df > 1"))  # apart, so that adaptive execution can split a frequent line
     pairs = each.join(held, "line").where(F.col("earlier") < F.col("first"))
     pairs = pairs.groupBy("key", F.col("earlier.key").alias("partner")).agg(F.min("df").alias("df"))
     partner = sequences.select(F.col("key").alias("partner"), F.col("lines").alias("against"))
