@@ -208,12 +208,11 @@ def near_components(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
-    """One document of each component, with the columns of docs: the one of the least doc_id (nulls last), then text key."""
-    marked = cut(fingerprints(docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text"), width))
+def first_of_each(docs: DataFrame, marked: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The document of the least doc_id (nulls last), then text key, of each component. marked: doc_id, _key, node; rooted: node, root."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    first = marked.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    kept = first.join(_rooted(marked, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._key")
+    first = marked.groupBy("node").agg(F.min(order).alias("first"))
+    kept = first.join(rooted, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first._key")
     kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept"))
     out = docs.withColumn("_key", text_key(F.col("text"))).join(kept, same, "left_semi")
@@ -221,3 +220,9 @@ def one_of_each(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame
     if not repeated.isEmpty():  # rows repeated as a whole: one stays
         out = out.dropDuplicates(["doc_id", "_key"])
     return out.drop("_key")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+    """One document of each component, with the columns of docs."""
+    marked = cut(fingerprints(docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text"), width))
+    return first_of_each(docs, marked.withColumnRenamed("fp", "node"), _rooted(marked, distance).withColumnRenamed("fp", "node"))
