@@ -3,14 +3,16 @@
 Words are runs of ASCII digits and letters (A-Z lower-cased) and of all characters beyond ASCII. A
 benchmark item gives its windows of `width` consecutive words; an item of fewer words is one window.
 
-1. The corpus frequency of every test term is counted. A window with a term that the corpus lacks
-   can't occur and goes.
-2. Each window's rarest term is its anchor. Postings of the anchors are stored: (term, document,
-   position), with the neighbouring tokens on both sides, as far as a window can reach.
-3. Windows meet postings on the anchor. A posting at p puts the window at p - offset; the other
-   terms' lists, adjusted by their offsets, are intersected on the neighbours stored with the posting.
-   All terms in place: an exact phrase. At least `share` of them within `slop` of their places: a
-   proximity match.
+1. The corpus frequency of every test term is counted. A window may miss 1 - `share` of its terms; one
+   of which the corpus lacks more can't occur and goes.
+2. Of the terms that the corpus has, as many of the rarest as the window may still miss, and two more,
+   are its anchors: in any match two of them are there (one, if one term alone makes a match). Postings
+   of anchors near another anchor of the same window are stored: (term, document, position), with the
+   neighbouring tokens on both sides, as far as a window can reach.
+3. Windows meet postings on the anchors. A posting at p puts the window within `slop` of p - offset; the
+   other terms' lists, adjusted by their offsets, are intersected on the neighbours stored with the
+   posting. All terms in place: an exact phrase. At least `share` of them within `slop` of their
+   places: a proximity match.
 
 Both passes over the corpus drop words through a sieve, a bitmap of SIEVE_BITS bits of the terms'
 hashes. Its size is the same for any benchmark and so may be broadcast; the later joins on the terms
@@ -94,22 +96,40 @@ def _counts(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
 
-def anchors(wins: DataFrame, freq: DataFrame) -> DataFrame:
-    """Windows that can occur, with term, their rarest one, and offset, its place in the window."""
+def anchors(wins: DataFrame, freq: DataFrame, share: float = 0.8) -> DataFrame:
+    """Windows that can occur, each with its anchors: term, and offset, its place in the window; others, the terms of which one must be near ('': none must)."""
     each = wins.select("item_id", "words", F.posexplode("words").alias("offset", "term")).join(freq, "term", "left")
-    rare = each.groupBy("item_id", "words").agg(F.min(F.struct("n", "term", "offset")).alias("r"), F.count("n").alias("there"))
-    return rare.where(F.col("there") == F.size("words")).select("item_id", "words", "r.term", "r.offset")
-
-
-def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """doc_id, key, n_words and postings: for each place of an anchor its term, position, and up to `reach` words on both sides."""
-    held = docs.sparkSession.sparkContext.broadcast(sieve(terms))
+    present = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "term", "offset"))))
+    held = each.groupBy("item_id", "words").agg(present.alias("present")).withColumn("needed", F.ceil(F.size("words") * share))
+    rare = held.where(F.size("present") >= F.col("needed")).withColumn("rare", F.expr("slice(present, 1, CAST(size(present) - needed + 2 AS INT))"))
+    one = rare.select("item_id", "words", "needed", "rare", F.inline("rare"))
+    others = F.when(F.col("needed") < 2, F.array(F.lit(""))).otherwise(F.expr("transform(filter(rare, x -> x.offset != offset), x -> x.term)"))
+    return one.select("item_id", "words", "term", "offset", others.alias("others"))
+
+
+def index(docs: DataFrame, anchored: DataFrame, reach: int) -> DataFrame:
+    """doc_id, key, n_words and postings: for each place of an anchor near another its term, position, and up to `reach` words on both sides."""
+    paired = anchored.select("term", F.explode("others").alias("other")).select(F.concat_ws(" ", "term", "other").alias("term"))
+    held = docs.sparkSession.sparkContext.broadcast((sieve(anchored), sieve(paired)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     posting = pa.struct([("term", pa.string()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieved = held.value
+        sieved, pairs = held.value
         known: dict[bytes, int] = {}
+
+        def postings(w: list[bytes]) -> Iterator[int]:
+            at = [i for i, x in enumerate(w) if known[x]]
+            lo = hi = 0
+            for k, i in enumerate(at):
+                while at[lo] < i - reach:
+                    lo += 1
+                while hi < len(at) and at[hi] <= i + reach:
+                    hi += 1
+                own = w[i] + b" "
+                if pairs[crc32(own) % SIEVE_BITS] or any(pairs[crc32(own + w[j]) % SIEVE_BITS] for j in (*at[lo:k], *at[k + 1 : hi])):
+                    yield i
+
         for batch in batches:
             sizes, lists = [], []
             for text in batch.column(2).cast(pa.binary()):
@@ -118,7 +138,7 @@ def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
                     known.clear()
                 known.update([(x, sieved[crc32(x) % SIEVE_BITS]) for x in {*w} if x not in known])
                 sizes.append(len(w))
-                lists.append([{"term": w[i].decode(), "at": i, "lead": min(i, reach), "near": [x.decode() for x in w[max(0, i - reach) : i + reach + 1]]} for i, x in enumerate(w) if known[x]])
+                lists.append([{"term": w[i].decode(), "at": i, "lead": min(i, reach), "near": [x.decode() for x in w[max(0, i - reach) : i + reach + 1]]} for i in postings(w)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "key", "n_words", "postings"])
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text"))
@@ -128,12 +148,12 @@ def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
 def matches(indexed: DataFrame, anchored: DataFrame, slop: int = 2, share: float = 0.8) -> DataFrame:
     """key, start, length, item_id, exact, found (terms in or near their places): exact phrases and proximity matches."""
     postings = indexed.select("key", F.inline("postings")).dropDuplicates(["key", "at"])
-    both = postings.join(anchored, "term")
-    first = "lead - `offset`"  # of the window in near; negative if it starts before the stored words
+    both = postings.join(anchored.drop("others"), "term").withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
+    first = "(lead - `offset` + shift)"  # of the window in near; negative if it starts before the stored words
     places = f"sequence(0, size(words) - 1)"
     found = F.expr(f"size(filter({places}, i -> array_contains(slice(near, greatest({first} + i - {slop}, 0) + 1, greatest(least({first} + i, {first} + i + {slop}) - greatest({first} + i - {slop}, 0) + 1 + {slop}, 0)), words[i])))")
     exact = F.expr(f"{first} >= 0 AND slice(near, greatest({first}, 0) + 1, size(words)) = words")
-    out = both.select("key", (F.col("at") - F.col("offset")).alias("start"), F.size("words").alias("length"), "item_id", exact.alias("exact"), found.alias("found"))
+    out = both.select("key", (F.col("at") - F.col("offset") + F.col("shift")).alias("start"), F.size("words").alias("length"), "item_id", exact.alias("exact"), found.alias("found"))
     return out.where(F.col("exact") | (F.col("found") >= F.ceil(F.col("length") * share)))
 
 
@@ -141,8 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop:
     """Per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items by proximity alone)."""
     wins = cut(windows(benchmark, width))
     terms = wins.select(F.explode("words").alias("term")).distinct()
-    anchored = cut(anchors(wins, frequencies(docs, terms)))
-    indexed = cut(index(docs, anchored.select("term").distinct(), width - 1 + slop))
+    anchored = cut(anchors(wins, frequencies(docs, terms), share))
+    indexed = cut(index(docs, anchored, width - 1 + 2 * slop))
     found = matches(indexed, anchored, slop, share)
     exact = found.where("exact").select("key", "start", "length", "item_id").distinct()
     hit = exact.select("key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from lodeweave.llm import decontam
@@ -65,3 +66,45 @@ def test_no_rows(spark, odd_docs, no_docs):
     assert decontam.contamination(no_docs, bench).count() == 0
     none = decontam.contamination(odd_docs, bench.limit(0))
     assert none.count() == odd_docs.count() and none.where("n_hit > 0 OR contaminated").count() == 0
+
+
+def plain_near(docs, items, width=13, slop=2):
+    """Per document the number of items with no exact window and one of at least 80 % of the terms near their places, at any start."""
+    out = {}
+    for doc, text in docs:
+        w, near, whole = plain_words(text), set(), set()
+        for item, t in items:
+            v = plain_words(t)
+            for win in {tuple(v[i : i + width]) for i in range(max(1, len(v) - width + 1))}:
+                for s in range(-width - slop, len(w) + slop):
+                    if s >= 0 and tuple(w[s : s + len(win)]) == win:
+                        whole.add(item)
+                    if 5 * sum(x in w[max(0, s + i - slop) : max(0, s + i + slop + 1)] for i, x in enumerate(win)) >= 4 * len(win):
+                        near.add(item)
+        out[doc] = len(near - whole)
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(11)
+    items = [(k, " ".join(f"r{k}x{i}" if i % 3 else f"c{rng.randrange(30)}" for i in range(n))) for k, n in enumerate((6, 10, 13, 13, 16))]
+    docs = []
+    for d in range(60):
+        w = items[d % 5][1].split()
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [["absent"], [w[at], "more"], []][rng.randrange(3)]
+        docs.append((d, " ".join([f"c{rng.randrange(30)}" for _ in range(rng.randrange(6))] + w + ["c1"] * rng.randrange(3))))
+    docs = docs[5:]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = plain_near(docs, items)
+    assert sum(want.values()) > 10
+    assert {r.doc_id: r.n_near for r in decontam.contamination(frame, bench).collect()} == want
+
+
+def test_proximity_without_the_rarest_word(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    docs = spark.createDataFrame([(1, item.replace("gamma", "other")), (2, "alpha beta delta gamma gamma")], "doc_id long, text string")
+    for word in ("gamma", "nowhere"):
+        bench = spark.createDataFrame([(7, item.replace("gamma", word))], "item_id int, text string")
+        assert {r.doc_id: r.n_near for r in decontam.contamination(docs, bench).collect()} == {1: 1, 2: 0}
