@@ -1,36 +1,86 @@
-"""Reading tables, content keys and lineage cuts shared by the text operators."""
+"""Reading tables, content keys, lineage cuts and storage shared by the text operators."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_kept_until_exit: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master, as in
+    tests, gets a temporary one; on a cluster it must be set, as a folder of one machine would lose rows."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeweave-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodeweave-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    system, path = _located(spark, folder)
+    system.delete(path, True)
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store when the driver's JVM ends; lazy frames may read it until then."""
+    if folder not in _kept_until_exit:
+        _kept_until_exit.add(folder)
+        system, path = _located(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark removes the files once the frame is unreachable."""
+    """Reliable checkpoint in the shared folder.
+
+    Its files go with `release`, or when the driver's JVM ends; Spark removes them sooner, once no frame can
+    reach them, where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     spark = df.sparkSession
     root = shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
+    remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame from `cut` that nothing will read again."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
+def spare(*wanted: str, taken: list[str]) -> list[str]:
+    """Names for helper columns that no column in `taken` has (in any case): each wanted one, with underscores added as needed."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -3,24 +3,28 @@
 Writing: each text's bytes, padded with 255 to a positive multiple of SIDE * SIDE, are the pixels of an
 image of SIDE columns; a task stores its images as members of ZIP archives (stored, not deflated again)
 of about `archive_bytes` in a shared folder, under names of its own attempt. Only archives that a
-finished attempt reports are read, so a repeated or lost attempt adds nothing.
+finished attempt reports, in the folder's manifest, are read, so a repeated or lost attempt adds nothing;
+an attempt that fails deletes its archives.
 
-Reading: the data source `lodeweave_media` plans partitions as byte ranges of the archives, from their
-sizes alone. A reader gets an archive's central directory from its end, takes the members whose
-headers start in its range, fetches each by its own offset, checks its crc32, and on a failure opens
-the archive again and retries that member alone, `retries` times, before it gives up on it: then the
-row has the error and no payload, or the query fails if `on_error` is fail (the default). Members leave
-in Arrow batches of about BATCH_BYTES.
+Reading: the data source `lodeweave_media` plans partitions as byte ranges of the archives, from the sizes
+in the manifest alone; a reader is sent its own range, not the list. It gets the archive's central
+directory from its end, takes the members whose headers start in its range, fetches them by offset, checks
+each one's crc32, and on a failure opens the archive again and retries that member alone, `retries` times,
+before it gives up on it: then the row has the error and no payload, or the query fails if `onError` is
+fail (the default). Members leave in Arrow batches of about BATCH_BYTES, and at least one member.
+
+A member's comment is `=` and its doc_id, or empty for a null one; an id too long for a comment is stored
+as a member of its own, and the comment is `@`.
 
 Defined cases: null and empty texts are one block of 255s (n_bytes 0); UTF-8 has no byte 255, so the
-unpadded length is found again from the payload; repeated rows are members of their own; a null doc_id
-stays null; an empty table makes no archive and gives no rows; further columns are not read.
+unpadded length is found again from the payload; a very long text is one member and in memory as a whole,
+alone in its batch; repeated rows are members of their own; a null doc_id stays null and an empty one
+empty; an empty table makes no archive and gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import struct
 import uuid
@@ -30,17 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodeweave.llm.common import shared_root, text_bytes
+from lodeweave.llm.common import cut, remove, shared_root, text_bytes
 
 SIDE = 24
 BLOCK = SIDE * SIDE
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+RANGE_BYTES, MOST_RANGES = 16 << 20, 200_000
+MANIFEST = "_manifest"
+_LONGEST_COMMENT = 65_535
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -84,14 +92,17 @@ def decode_png(media: bytes) -> bytes:
 
 
 def feature(payload: bytes) -> str:
-    """rows, mean and deviation of the samples, and a 64-bit average hash of an 8 by 8 reduction, in hex."""
+    """rows, mean and variance of the samples, and a 64-bit average hash of an 8 by 8 reduction, in hex."""
     x = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
-    tall = np.add.reduceat(x.astype(np.int64), np.arange(8) * len(x) // 8, axis=0)
+    edges = np.arange(9) * len(x) // 8
+    tall = np.array([x[lo:hi].sum(axis=0, dtype=np.int64) for lo, hi in zip(edges, edges[1:], strict=False)])
     cells = tall.reshape(8, 8, SIDE // 8).sum(axis=2)
-    per = np.diff(np.append(np.arange(8) * len(x) // 8, len(x)))[:, None]
-    bits = cells * per.sum() * 8 > cells.sum() * np.maximum(per, 1)
-    total, squares = int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
-    n = len(payload)
+    bits = cells * len(x) * 8 > cells.sum() * np.diff(edges)[:, None]
+    held = np.zeros(256, np.int64)
+    for at in range(0, len(payload), 1 << 16):  # bincount copies its input in 64 bits
+        held += np.bincount(x.reshape(-1)[at : at + (1 << 16)], minlength=256)
+    n, value = len(payload), np.arange(256)
+    total, squares = int(held @ value), int(held @ value**2)
     return f"{len(x)}x{SIDE};mean={total / n:.4f};var={squares / n - (total / n) ** 2:.3f};ahash={np.packbits(bits.ravel()).tobytes().hex()}"
 
 
@@ -100,8 +111,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> list[tuple[str, int]]:
-    """Store every document as a member; return each finished archive's name and size (one for about archive_bytes)."""
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> None:
+    """Store every document as a member of archives of about archive_bytes, and the list of finished ones in MANIFEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -118,24 +129,34 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20)
                 sink.close()
                 out = None
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if out is None:
-                    names.append(f"part-{context.partitionId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}-{len(names)}.zip")
-                    sink = system.open_output_stream(f"{path}/{names[-1]}")
-                    out, members, written = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED), 0, 0
-                media = encode_png(padded(text.as_py()))
-                info = zipfile.ZipInfo(f"{members}.png")
-                info.comment = b"" if doc is None else str(doc).encode()
-                out.writestr(info, media)
-                members, written = members + 1, written + len(media)
-                if written >= archive_bytes:
-                    close()
-        close()
+        try:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                    if out is None:
+                        names.append(f"part-{context.partitionId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}-{len(names)}.zip")
+                        sink = system.open_output_stream(f"{path}/{names[-1]}")
+                        out, members, written = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED), 0, 0
+                    media = encode_png(padded(text.as_py()))
+                    info = zipfile.ZipInfo(f"{members}.png")
+                    info.comment = b"" if doc is None else b"=" + doc.encode()
+                    if len(info.comment) > _LONGEST_COMMENT:
+                        out.writestr(zipfile.ZipInfo(f"{members}.id"), doc.encode())
+                        info.comment = b"@"
+                    out.writestr(info, media)
+                    members, written = members + 1, written + len(media)
+                    if written >= archive_bytes:
+                        close()
+            close()
+        except BaseException:
+            if sink is not None:
+                sink.close()
+            for name in names:  # of an attempt that failed
+                system.delete_file(f"{path}/{name}")
+            raise
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
 
     rows = docs.select(F.col("doc_id").cast("string"), text_bytes(F.col("text")).alias("text"))
-    return sorted((r["name"], r["size"]) for r in rows.mapInArrow(run, "name string, size long").collect())
+    rows.mapInArrow(run, "name string, size long").write.parquet(f"{folder}/{MANIFEST}")
 
 
 class Range(InputPartition):
@@ -146,13 +167,27 @@ class Range(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["folder"]
-        self.archives = json.loads(options["archives"])
-        self.range_bytes = int(options.get("rangebytes", 16 << 20))
+        self.range_bytes = int(options.get("rangebytes", 0))
         self.retries = int(options.get("retries", 3))
         self.keep_going = options.get("onerror", "fail") == "row"
 
     def partitions(self):
-        return [Range(name, lo, min(size, lo + self.range_bytes)) for name, size in self.archives for lo in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+        system, folder = _open(self.folder)
+        listed = pq.read_table(f"{folder}/{MANIFEST}", filesystem=system)
+        names, sizes = listed.column("name").to_pylist(), listed.column("size").to_pylist()
+        step = self.range_bytes or max(RANGE_BYTES, sum(sizes) // MOST_RANGES)
+        return [Range(name, lo, min(size, lo + step)) for name, size in sorted(zip(names, sizes, strict=True)) for lo in range(0, size, step)] or [Range("", 0, 0)]
+
+    def directory(self, system, path: str) -> list[zipfile.ZipInfo]:
+        """The archive's members, from the directory at its end; tried again like a member."""
+        for attempt in range(self.retries + 1):
+            try:
+                with system.open_input_file(path) as f:
+                    return zipfile.ZipFile(f).infolist()
+            except (OSError, zipfile.BadZipFile):
+                if attempt == self.retries:
+                    raise
+        return []
 
     def member(self, system, path: str, offset: int, size: int, crc: int) -> tuple[bytes | None, int, str | None]:
         """One stored member by its header's offset: the bytes or None, failed attempts, the last error."""
@@ -172,38 +207,52 @@ class ArchiveReader(DataSourceReader):
                 error = f"{type(e).__name__}: {e}"
         return None, self.retries + 1, error
 
+    def doc_id(self, system, path: str, m: zipfile.ZipInfo, ids: dict[str, zipfile.ZipInfo]) -> str | None:
+        if m.comment != b"@":
+            return m.comment[1:].decode() if m.comment else None
+        own = ids[m.filename.removesuffix(".png") + ".id"]
+        data, _, error = self.member(system, path, own.header_offset, own.file_size, own.CRC)
+        if data is None:
+            raise OSError(f"{path} at {own.header_offset}: {error}")
+        return data.decode()
+
     def read(self, partition):
         if not partition.name:
             return
         system, folder = _open(self.folder)
         path = f"{folder}/{partition.name}"
-        with system.open_input_file(path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.lo <= m.header_offset < partition.hi]
-            runs, held = [], 0
-            for m in members:
-                if held and held + m.file_size > BATCH_BYTES or not runs:
-                    runs, held = [*runs, []], 0
-                runs[-1].append(m)
-                held += m.file_size
-            for run in runs:
-                start, end = run[0].header_offset, run[-1].header_offset + run[-1].compress_size + 30 + len(run[-1].filename) + len(run[-1].extra)
-                stretch = self.stretch(f, start, end)
-                rows = []
-                for m in run:
-                    at = m.header_offset - start + 30 + len(m.filename.encode()) + len(m.extra)
-                    data, failed, error = stretch[at : at + m.file_size], 0, None
-                    if zlib.crc32(data) != m.CRC:
-                        data, failed, error = self.member(system, path, m.header_offset, m.file_size, m.CRC)
-                    if data is None and not self.keep_going:
-                        raise OSError(f"{partition.name} at {m.header_offset}: {error}")
-                    rows.append((m.comment.decode() or None, partition.name, m.header_offset, data, failed, error))
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["member", "archive", "offset", "media", "failed", "error"])
-
-    def stretch(self, f, start: int, end: int) -> bytes:
+        ids, members = {}, []
+        for m in self.directory(system, path):
+            if m.filename.endswith(".id"):
+                ids[m.filename] = m
+            elif partition.lo <= m.header_offset < partition.hi:
+                members.append(m)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.string())
+        at = 0
+        while at < len(members):
+            upto, held = at + 1, members[at].file_size
+            while upto < len(members) and held + members[upto].file_size <= BATCH_BYTES:
+                held += members[upto].file_size
+                upto += 1
+            run, at = members[at:upto], upto
+            start, last = run[0].header_offset, run[-1]
+            stretch = self.stretch(system, path, start, last.header_offset + last.compress_size + 30 + len(last.filename) + len(last.extra))
+            rows = []
+            for m in run:
+                first = m.header_offset - start + 30 + len(m.filename.encode()) + len(m.extra)
+                data, failed, error = stretch[first : first + m.file_size], 0, None
+                if zlib.crc32(data) != m.CRC:
+                    data, failed, error = self.member(system, path, m.header_offset, m.file_size, m.CRC)
+                if data is None and not self.keep_going:
+                    raise OSError(f"{partition.name} at {m.header_offset}: {error}")
+                rows.append((self.doc_id(system, path, m, ids), partition.name, m.header_offset, data, failed, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["member", "archive", "offset", "media", "failed", "error"])
+
+    def stretch(self, system, path: str, start: int, end: int) -> bytes:
         """The bytes of consecutive members at once; what is short or wrong is left to each member's own retries."""
         try:
-            return f.read_at(end - start, start)
+            with system.open_input_file(path) as f:
+                return f.read_at(end - start, start)
         except OSError:
             return b""
 
@@ -220,9 +269,10 @@ class ArchiveSource(DataSource):
         return ArchiveReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_archives(spark: SparkSession, folder: str, archives: list[tuple[str, int]], **options) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The members of the archives in the folder's manifest. Options: rangeBytes, retries, onError (fail or row)."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("lodeweave_media").options(folder=folder, archives=json.dumps(archives), **options).load()
+    return spark.read.format("lodeweave_media").options(folder=folder, **options).load()
 
 
 def features(media: DataFrame, kind: str = "bigint") -> DataFrame:
@@ -244,7 +294,13 @@ def features(media: DataFrame, kind: str = "bigint") -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Store docs as images and describe what is read back from the archives."""
-    spark = docs.sparkSession
-    folder = folder or f"{shared_root(spark)}/media-{uuid.uuid4().hex}"
-    return features(read_archives(spark, folder, write_archives(docs, folder)), docs.schema["doc_id"].dataType.simpleString())
+    """Store docs as images and describe what is read back from the archives; these stay only if their folder is given."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    own = folder or f"{shared_root(spark)}/media-{uuid.uuid4().hex}"
+    try:
+        write_archives(docs, own)
+        found = features(read_archives(spark, own), kind)
+        return found if folder else cut(found)
+    finally:
+        if not folder:
+            remove(spark, own)

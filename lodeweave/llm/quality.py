@@ -2,7 +2,7 @@
 
 1. Every text is reduced to STATISTICS, a few numbers; only these go on.
 2. Random Fourier features cos(w x + b), with w from a seeded normal distribution, approximate a
-   Gaussian kernel over the standardised statistics; the statistics themselves are added.
+   Gaussian kernel over the arsinh of the standardised statistics; the model has no other features.
 3. Each partition sums its share of the normal equations X'X and X'y; the sums are added row by row of
    the matrix on the executors, and the driver solves the ridge system, whose size is fixed.
 4. The raw scores of the calibration fold are counted in CELLS equal steps, and pooling adjacent
@@ -12,8 +12,9 @@ The classifier is learned on a bounded sample of labelled rows, at most about `s
 of doc_id, split between fit and calibration. Scores depend on the text alone.
 
 Defined cases: null text is empty text and gets a score; a document whose label rows disagree is taught
-with their mean; null labels teach nothing; repeated documents are rows of their own, each scored; with
-no labelled row every score is 1 (nothing is rejected); with one class only, its share; an empty table
+with their mean; null labels teach nothing; repeated documents are rows of their own, each scored, and of
+those of one doc_id the one with the least statistics teaches; a very long text is read whole; with no
+labelled row every score is 1 (nothing is rejected); with one class only, its share; an empty table
 gives no rows; further columns are not read.
 """
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, text_bytes
 
-STATISTICS = ("log_bytes", "log_words", "word_length", "upper", "digits", "stops", "marks", "symbols", "pipes", "spaces", "other", "distinct", "same_next", "top_word", "bare_words", "end_marks", "log_line", "same_lines")
-FEATURES, WIDTH, RIDGE, CELLS, SEED = 160, 2.5, 1e-2, 400, 20240229
+STATISTICS = ("log_bytes", "log_words", "log_word_length", "upper", "digits", "stops", "marks", "symbols", "pipes", "spaces", "other", "distinct", "same_next", "top_word", "bare_words", "end_marks", "log_line", "same_lines")
+FEATURES, WIDTH, RIDGE, CELLS, SEED = 160, 4.0, 1e-2, 400, 20240229
 _ODD_END = re.compile(rb"[^\w\s.,;:?'\"\x80-\xff](?=\s|$)", re.ASCII)
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b"!'\"()-", b"#$%&*+/<=>@[\\]^_`{}~", b"|", b" \t\n\r\x0b\x0c", bytes(range(128, 256))), 1):
@@ -48,7 +49,7 @@ def statistics(t: bytes) -> list[float]:
     lines = t.split(b"\n")
     bare = sum(c for w, c in counts.items() if not w.isalnum() and not any(97 <= b <= 122 or 65 <= b <= 90 or b > 127 for b in w))
     return [
-        float(np.log1p(len(t))), float(np.log1p(len(words))), min(40.0, len(t) / k), *classes[1:6], classes[6], classes[7], classes[8],
+        float(np.log1p(len(t))), float(np.log1p(len(words))), float(np.log1p(len(t) / k)), *classes[1:6], classes[6], classes[7], classes[8],
         len(counts) / k, sum(map(bytes.__eq__, words, words[1:])) / k, max(counts.values(), default=0) / k,
         bare / k, len(_ODD_END.findall(t)) / k, float(np.log1p(len(t) / len(lines))), 1 - len({*lines}) / len(lines),
     ]
@@ -74,11 +75,16 @@ class Model:
     weights: np.ndarray
     steps: np.ndarray
 
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Plain values for a broadcast: executors needn't know the class."""
+        return self.mean, self.scale, self.weights, self.steps
+
     def features(self, stats: np.ndarray) -> np.ndarray:
-        x = (stats - self.mean) / self.scale
+        """1 and the random Fourier features; arsinh keeps far statistics apart without letting them run away."""
+        x = np.arcsinh((stats - self.mean) / self.scale)
         rng = np.random.default_rng(SEED)
         w = rng.normal(0, 1 / WIDTH, (x.shape[1], FEATURES))
-        return np.hstack([np.ones((len(x), 1)), np.clip(x, -6, 6) / 4, np.cos(np.clip(x, -6, 6) @ w + rng.uniform(0, 2 * np.pi, FEATURES)) * np.sqrt(2 / FEATURES)])
+        return np.hstack([np.ones((len(x), 1)), np.cos(x @ w + rng.uniform(0, 2 * np.pi, FEATURES)) * np.sqrt(2 / FEATURES)])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.weights if len(self.weights) else np.zeros(len(stats))
@@ -122,7 +128,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
         return pa.table({"i": t.column("i").slice(0, 1), "line": [line.tolist()]})
 
     lines = rows.select("stats", "y").mapInArrow(sums, "i int, line array<double>").groupBy("i").applyInArrow(add, "i int, line array<double>")
-    full = np.array([r["line"] for r in sorted(lines.collect())])  # FEATURES + 19 rows
+    full = np.array([r["line"] for r in sorted(lines.collect())])  # FEATURES + 1 rows
     return full[:, :-1], full[:, -1]
 
 
@@ -132,7 +138,7 @@ def learn(stats: DataFrame, labels: DataFrame, teaches: Column, sample: int = 30
     size = y.count()
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
     chosen = y.where(part < min(1.0, sample / max(1, size)) * (1 << 20))
-    rows = cut(stats.dropDuplicates(["doc_id"]).join(chosen, "doc_id").withColumn("fit", F.pmod(part, F.lit(4)) > 0).select("doc_id", "stats", "y", "fit"))
+    rows = cut(stats.groupBy("doc_id").agg(F.min("stats").alias("stats")).join(chosen, "doc_id").withColumn("fit", F.pmod(part, F.lit(4)) > 0).select("doc_id", "stats", "y", "fit"))
     fit, rest = rows.where("fit"), rows.where("NOT fit")
     moments = fit.select("y", *[F.col("stats")[i].alias(f"s{i}") for i in range(len(STATISTICS))])
     found = moments.agg(F.count("y"), *[f(f"s{i}") for f in (F.avg, F.stddev_pop) for i in range(len(STATISTICS))]).first()
@@ -159,11 +165,12 @@ def learn(stats: DataFrame, labels: DataFrame, teaches: Column, sample: int = 30
 def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The columns of stats with score and predicted in place of stats."""
     carried = [c for c in stats.columns if c != "stats"]
-    held = stats.sparkSession.sparkContext.broadcast(model)
+    held = stats.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value)
         for batch in batches:
-            score = held.value.score(np.array(batch.column(len(carried)).to_pylist(), float).reshape(-1, len(STATISTICS)))
+            score = own.score(np.array(batch.column(len(carried)).to_pylist(), float).reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*carried, "score", "predicted"])
 
     kinds = [f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in carried]
@@ -173,11 +180,12 @@ def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose text scores at least `threshold`: one pass over the texts, no exchange."""
     at = docs.columns.index("text")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value)
         for batch in batches:
             rows = np.array([statistics(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())], float).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(held.value.score(rows) >= threshold))
+            yield batch.filter(pa.array(own.score(rows) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,19 +4,22 @@ Words are runs of characters other than space and U+0009 to U+000D of the text w
 shingles are `width` consecutive words (fewer words: all of them; none: fingerprint zero). A bit is set
 if it is set in over half of the shingles' XXH64 values (seed 42), repeats included.
 
-Distinct fingerprints go to buckets. With at most `distance` differing bits, one of distance + 1
-segments of the bits is equal, so each fingerprint goes to one bucket per segment, by that segment's
-bits. A bucket of over `bucket_rows` fingerprints is split the same way over the bits not yet fixed,
-until none is too large: exact, and no task holds more. In a bucket the fingerprints are sorted by
-Gray rank, in which neighbours share most bits. Groups of eight become leaves; a node keeps the mask
-of the bits on which everything below agrees, and their values. The index is joined with itself from
-the top: for two nodes the differing bits under both masks bound the distance from below, grow from
-level to level, and over `distance` the whole pair of groups is dropped. A bucket gives a spanning
-forest of its links, never all pairs.
+All distinct fingerprints are sorted by Gray rank, in which neighbours share most bits: range partitions,
+sorted and cut into blocks of BLOCK. A block is a node of the index: the mask of the bits on which all of
+it agrees, and their values. FAN neighbouring nodes make a node of the level above, up to one root; what
+its children agree on is factored out into it. The index is joined with itself from the root: a pair of
+nodes becomes the pairs of their children; the differing bits under both masks bound the distance from
+below, add up from level to level, and over `distance` a whole pair of groups is dropped. Pairs of blocks
+that are left are opened: the same descent goes on within the two, over nodes of FAN fingerprints, and
+whole fingerprints decide. A pair of blocks gives a spanning forest of its links, never all links.
+
+Nothing is gathered: levels, pairs of nodes and blocks are frames; a task holds a few pairs of blocks. With
+n blocks about n * log2(n)**2 / 4 pairs of them are opened at a distance of 2.
 
 Defined cases: null text is empty text; texts without words are linked to each other like any equal
-fingerprints; repeated rows and ties are of one fingerprint and so of one component; the component of
-rows whose every doc_id is null is null; an empty table gives no rows; further columns are not read.
+fingerprints; a very long text is fingerprinted whole, in pieces; repeated rows and ties are of one
+fingerprint and so of one component; the component of rows whose every doc_id is null is null; an empty
+table gives no rows; further columns are not read, and stay as they are in `one_of_each`.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, text_bytes, text_key
+from lodeweave.llm.common import cut, spare, text_bytes, text_key
 from lodeweave.llm.graph import components
 
 FAN = 8
+BLOCK = 512  # FAN to the power of 3: a block has three levels of its own
+_FAN_BITS = 3
 
 
 def fingerprint(text: str | bytes | None, width: int = 3) -> int:
@@ -67,115 +73,146 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 class GrayIndex:
-    """Hierarchical index over fingerprints sorted by Gray rank: levels of (mask of shared bits, their values)."""
+    """The index within a block, of fingerprints in Gray order: levels of (mask of shared bits, their values), up to one root."""
 
     def __init__(self, fps: np.ndarray):
         self.fps = fps
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         mask, value = np.full(len(fps), ~np.uint64(0)), fps
-        while len(value) > FAN or not self.levels:
+        size = BLOCK
+        while size > 1 or len(value) > 1:
             pad = -len(value) % FAN
             m = np.concatenate([mask, np.repeat(mask[-1:], pad)]).reshape(-1, FAN)
             v = np.concatenate([value, np.repeat(value[-1:], pad)]).reshape(-1, FAN)
             shared = np.bitwise_and.reduce(m & ~(v ^ v[:, :1]), axis=1)
-            mask, value = shared, v[:, 0] & shared
+            mask, value, size = shared, v[:, 0] & shared, size // FAN
             self.levels.append((mask, value))
 
-    def links(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places i < j of fingerprints at most `distance` bits apart, in pieces."""
-        top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][0]))
-        yield from self._below(top, i, j, distance)
+    @property
+    def root(self) -> tuple[int, int]:
+        """Mask and value of the whole block."""
+        mask, value = self.levels[-1]
+        return int(mask[0]), int(value[0])
 
-    def _below(self, level: int, i: np.ndarray, j: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        mask, value = self.levels[level]
-        near = np.bitwise_count((value[i] ^ value[j]) & mask[i] & mask[j]) <= distance
+    def links(self, other: GrayIndex, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of fingerprints here and there at most `distance` bits apart, in pieces; i < j if other is this one."""
+        yield from self._below(other, len(self.levels) - 1, np.zeros(1, int), np.zeros(1, int), distance)
+
+    def _below(self, other: GrayIndex, level: int, i: np.ndarray, j: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (m, v), (n, w) = self.levels[level], other.levels[level]
+        near = np.bitwise_count((v[i] ^ w[j]) & m[i] & n[j]) <= distance
         i, j = i[near], j[near]
-        below = self.levels[level - 1][1] if level else self.fps
+        here, there = (x.levels[level - 1][1] if level else x.fps for x in (self, other))
         step = np.arange(FAN)
         for at in range(0, len(i), 4096):
             a = (i[at : at + 4096, None] * FAN + step)[:, :, None]
             b = (j[at : at + 4096, None] * FAN + step)[:, None, :]
             a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-            keep = (a < len(below)) & (b < len(below)) & ((a <= b) if level else (a < b))
+            keep = (a < len(here)) & (b < len(there))
+            if self is other:
+                keep &= (a <= b) if level else (a < b)
             a, b = a[keep], b[keep]
             if level:
-                yield from self._below(level - 1, a, b, distance)
+                yield from self._below(other, level - 1, a, b, distance)
             else:
-                near = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= distance
+                near = np.bitwise_count(here[a] ^ there[b]) <= distance
                 yield a[near], b[near]
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among a bucket's distinct fingerprints, which are sorted by Gray rank."""
-    parent = list(range(len(fps)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in GrayIndex(fps).links(distance):
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[q] = p
-                out.append((x, y))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return fps[pairs[:, 0]], fps[pairs[:, 1]]
-
-
-def _segments(free: int, parts: int) -> list[int]:
-    """Masks of `parts` even runs of the bits set in `free`."""
-    at = [k for k in range(64) if free >> k & 1]
-    return [sum(1 << k for k in at[len(at) * p // parts : len(at) * (p + 1) // parts]) for p in range(parts)]
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n places the least place of its component."""
+    label = np.arange(n)
+    for a, b in links:
+        while len(a):
+            x, y = label[a], label[b]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+    return label
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_fingerprints(fps: DataFrame, distance: int = 2, bucket_rows: int = 1 << 15) -> DataFrame:
-    """Edges a, b that join the linked ones of distinct fingerprints (column fp) into components."""
-    spark, all_bits = fps.sparkSession, (1 << 64) - 1
-
-    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-        """Rows of (mask, fp) to each mask that refines the row's own one."""
-        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(m | s)) for s in _segments(all_bits & ~m, distance + 1)]))])
-        return rows.select(F.explode(finer[F.col("mask")]).alias("mask"), "fp").withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
-
-    rows, masks, ready = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], None
-    while masks:
-        rows = dealt(rows, masks)
-        sizes = rows.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rows.join(sizes, ["mask", "val"])
-        small = (F.col("n") <= bucket_rows) | (F.bit_count("mask") >= 52)  # 12 free bits: 4096 fingerprints at most
-        fits = sized.where(small).drop("n")
-        ready = fits if ready is None else ready.unionByName(fits)
-        rows = sized.where(~small).select("mask", "fp")
-        masks = [r["mask"] & all_bits for r in sizes.where(~small).select("mask").distinct().collect()]  # at most distance + 1 to the power of the level
-        if masks:
-            rows = cut(rows)
+def gray_blocks(fps: DataFrame, range_rows: int = 1 << 16, block: int = BLOCK) -> DataFrame:
+    """id, mask, value, fps (bytes): the distinct fingerprints (column fp) in Gray order, by blocks; ids go with the order."""
+    ranges = -(-max(1, fps.count()) // range_rows)
+    wide = max(1, (2 * range_rows // block - 1).bit_length())  # bits of a block's number in its range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        part, made, kept = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint64)
         for batch in _then_none(batches):
             if batch is not None:
-                own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-                kept = own if kept is None else np.concatenate([kept, own], axis=1)
-            if kept is None or not kept.shape[1]:
-                continue
-            ends = np.flatnonzero((kept[0, 1:] != kept[0, :-1]) | (kept[1, 1:] != kept[1, :-1])) + 1
-            bounds = [0, *ends.tolist()] + ([kept.shape[1]] if batch is None else [])
-            found = [spanning_links(kept[2, lo:hi].view(np.uint64), distance) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-            kept = kept[:, bounds[-1] :]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in range(2)], ["a", "b"])
+                kept = np.concatenate([kept, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+            upto = len(kept) // block * block if batch is not None else len(kept)
+            cuts = [kept[at : min(at + block, upto)] for at in range(0, upto, block)]
+            kept = kept[upto:]
+            if cuts:
+                roots = [GrayIndex(c).root for c in cuts]
+                ids = [(part << 40) | (made + k) for k in range(len(cuts))]
+                made += len(cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([_signed(r[k]) for r in roots], pa.int64()) for k in (0, 1)), pa.array([c.tobytes() for c in cuts], pa.binary())], ["id", "mask", "value", "fps"])
+
+    placed = fps.select("fp", _gray_rank("fp").alias("gray")).repartitionByRange(ranges, "gray").sortWithinPartitions("gray")
+    found = cut(placed.select("fp").mapInArrow(run, "id long, mask long, value long, fps binary"))
+    most = found.agg(F.max(F.col("id").bitwiseAND(F.lit((1 << 40) - 1)))).first()[0]
+    wide = max(wide, int(most or 0).bit_length())
+    return found.withColumn("id", F.shiftleft(F.shiftright("id", 40), wide).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 40) - 1))))
+
+
+def node_levels(blocks: DataFrame) -> list[DataFrame]:
+    """id, mask, value of the nodes of each level, from the blocks to the root."""
+    levels = [blocks.select("id", "mask", "value")]
+    agreed = F.bit_and("mask").bitwiseAND(F.bit_and("value").bitwiseOR(F.bitwise_not(F.bit_or("value"))))
+    top = blocks.agg(F.max("id")).first()[0]
+    while top:
+        up = levels[-1].groupBy(F.shiftright("id", _FAN_BITS).alias("id")).agg(agreed.alias("mask"), F.bit_and("value").alias("value"))
+        levels.append(cut(up.select("id", "mask", F.col("value").bitwiseAND(F.col("mask")).alias("value"))))
+        top >>= _FAN_BITS
+    return levels
+
+
+def block_pairs(levels: list[DataFrame], distance: int) -> DataFrame:
+    """u <= v: the pairs of blocks that the index can't tell to be over `distance` bits apart."""
+    pairs = levels[-1].select(F.col("id").alias("u"), F.col("id").alias("v"))
+    apart = F.bit_count(F.expr("(x.value ^ y.value) & x.mask & y.mask"))
+    for level in levels[-2::-1]:
+        below = level.groupBy(F.shiftright("id", _FAN_BITS).alias("up")).agg(F.collect_list(F.struct("id", "mask", "value")).alias("nodes"))  # FAN at most
+        both = pairs.join(below.select(F.col("up").alias("u"), F.col("nodes").alias("a")), "u").join(below.select(F.col("up").alias("v"), F.col("nodes").alias("b")), "v")
+        opened = both.select("b", F.explode("a").alias("x")).select("x", F.explode("b").alias("y"))
+        pairs = opened.where((F.col("x.id") <= F.col("y.id")) & (apart <= distance)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+    return pairs
+
+
+def link_fingerprints(fps: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
+    """Edges a, b that join the linked ones of distinct fingerprints (column fp) into components."""
+    blocks = gray_blocks(fps, block=block)
+    pairs = block_pairs(node_levels(blocks), distance)
 
-    placed = ready.withColumn("gray", _gray_rank("fp")).repartition("mask", "val").sortWithinPartitions("mask", "val", "gray")
-    return placed.select("mask", "val", "fp").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                a = np.frombuffer(one.as_py(), np.uint64)
+                if two.is_valid:
+                    first, second = a, np.frombuffer(two.as_py(), np.uint64)
+                    found = ((i, j + len(first)) for i, j in GrayIndex(first).links(GrayIndex(second), distance))
+                    a = np.concatenate([first, second])
+                else:
+                    index = GrayIndex(a)
+                    found = index.links(index, distance)
+                label = forest(len(a), found)
+                moved = np.flatnonzero(label != np.arange(len(a)))
+                out.append((a[moved], a[label[moved]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+    held = blocks.select("id", "fps")
+    opened = pairs.join(held.select(F.col("id").alias("u"), F.col("fps").alias("one")), "u").join(held.select(F.col("id").alias("v"), F.col("fps").alias("two")), "v")
+    return opened.select("one", F.when(F.col("u") != F.col("v"), F.col("two")).alias("two")).mapInArrow(run, "a long, b long")
 
 
 def _then_none(items):
@@ -209,17 +246,22 @@ def near_components(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
 
 
 def first_of_each(docs: DataFrame, marked: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The document of the least doc_id (nulls last), then text key, of each component. marked: doc_id, _key, node; rooted: node, root."""
+    """The document of the least doc_id (nulls last), then text key, of each component. marked: doc_id, _key, node; rooted: node, root.
+
+    Of rows equal in doc_id and text the one whose other columns come first as JSON stays.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     first = marked.groupBy("node").agg(F.min(order).alias("first"))
     kept = first.join(rooted, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first._key")
-    kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept"))
-    out = docs.withColumn("_key", text_key(F.col("text"))).join(kept, same, "left_semi")
+    key, kept_id, kept_key, whole = spare("_key", "_id", "_kept", "_whole", taken=docs.columns)
+    kept = cut(kept.select(F.col("doc_id").alias(kept_id), F.col("_key").alias(kept_key)))
+    out = docs.withColumn(key, text_key(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col("_key") == F.col(kept_key))
     repeated = marked.groupBy("doc_id", "_key").count().where("count > 1").join(kept, same, "left_semi")
-    if not repeated.isEmpty():  # rows repeated as a whole: one stays
-        out = out.dropDuplicates(["doc_id", "_key"])
-    return out.drop("_key")
+    if not repeated.isEmpty():
+        least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        out = out.groupBy("doc_id", key).agg(least.alias(whole)).select(f"{whole}.*")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:

@@ -3,6 +3,8 @@ import pytest
 import xxhash
 
 from lodeweave.llm import simhash
+from lodeweave.llm.common import cut
+from lodeweave.llm.graph import components
 from tests.conftest import DATA
 
 
@@ -58,33 +60,58 @@ def test_no_rows(no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 9, 700])
-def test_index_finds_every_link(n):
-    rng = np.random.default_rng(n)
-    base = rng.integers(0, 2**63, max(1, n // 20), dtype=np.uint64)
-    fps = np.unique(base[rng.integers(0, len(base), n)] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)))
+def in_gray_order(fps):
     gray = fps.copy()
     for k in (1, 2, 4, 8, 16, 32):
         gray ^= gray >> np.uint64(k)
-    fps = fps[np.argsort(gray)]
-    i, j = np.triu_indices(len(fps), 1)
-    near = np.bitwise_count(fps[i] ^ fps[j]) <= 2
-    got = {p for a, b in simhash.GrayIndex(fps).links(2) for p in zip(a.tolist(), b.tolist())}
-    assert got == set(zip(i[near].tolist(), j[near].tolist()))
+    return fps[np.argsort(gray)]
+
+
+def cluster(seed, n):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, max(1, n // 20), dtype=np.uint64)
+    return in_gray_order(np.unique(base[rng.integers(0, len(base), n)] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))))
 
 
-def test_large_buckets_are_split_without_loss(spark):
+@pytest.mark.parametrize("n", [1, 2, 9, 500])
+def test_index_finds_every_link(n):
+    fps, other = cluster(n, n), cluster(n + 1, 2 * n)[:512]
+    other[: n // 2] = fps[: n // 2] ^ np.uint64(5)
+    other = in_gray_order(np.unique(other))
+    for x, y in ((fps, fps), (fps, other)):
+        here = simhash.GrayIndex(x)
+        there = here if y is x else simhash.GrayIndex(y)
+        want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= 2)) if y is not x or i < j}
+        assert {p for a, b in here.links(there, 2) for p in zip(a.tolist(), b.tolist())} == want
+
+
+def roots_of(frame, fps, **sizes):
+    roots = {r.node: r.root for r in components(simhash.link_fingerprints(frame, 2, **sizes)).collect()}
+    groups = {}
+    for f, c in zip(fps.view(np.int64).tolist(), plain_components(fps.view(np.int64).tolist(), fps.tolist())):
+        groups.setdefault(c, set()).add(roots.get(f, f))
+    return groups
+
+
+@pytest.mark.parametrize("block", [8, 64, 512])
+def test_dense_groups_lose_no_link(spark, block):
     rng = np.random.default_rng(5)
     centre = np.uint64(0x1234567890ABCDEF)
     one, two = (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64) for _ in range(2))
-    fps = np.unique(centre ^ one ^ two)
+    fps = np.unique(np.concatenate([centre ^ one ^ two, cluster(3, 300)]))
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    from lodeweave.llm.graph import components
-
-    for rows in (250, 1 << 15):
-        roots = {r.node: r.root for r in components(simhash.link_fingerprints(frame, 2, bucket_rows=rows)).collect()}
-        want = plain_components(fps.view(np.int64).tolist(), fps.tolist())
-        groups = {}
-        for f, c in zip(fps.view(np.int64).tolist(), want):
-            groups.setdefault(c, set()).add(roots.get(f, f))
-        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set().union(*groups.values()))
+    groups = roots_of(frame, fps, block=block)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set().union(*groups.values()))
+
+
+def test_upper_nodes_prune_whole_groups(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    fps = cut(simhash.fingerprints(docs.select("doc_id", "text")).select("fp").distinct())
+    blocks = simhash.gray_blocks(fps, range_rows=2048, block=32)
+    levels = simhash.node_levels(blocks)
+    n = blocks.count()
+    assert n > 250 and levels[-1].count() == 1 and len(levels) > 3
+    pairs = [simhash.block_pairs(levels[k:], 2).count() / (levels[k].count() * (levels[k].count() + 1) / 2) for k in range(len(levels))]
+    assert pairs[0] < 0.3 and pairs[1] < 0.8  # shares of all pairs of nodes that are left, at the blocks and one level above
+    back = [x for r in blocks.orderBy("id").collect() for x in np.frombuffer(r.fps, np.uint64).tolist()]
+    assert back == in_gray_order(np.array(back, np.uint64)).tolist() and len(back) == fps.count()
