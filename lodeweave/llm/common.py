@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,24 +51,36 @@ def remove_at_exit(spark: SparkSession, folder: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder.
+    """The rows of df, written to a table in the shared folder and read again: lineage ends here, and later plans know the size.
 
-    Its files go with `release`, or when the driver's JVM ends; Spark removes them sooner, once no frame can
-    reach them, where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    Its files go with `release`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
-    return df.checkpoint(eager=True)
+    folder = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    remove_at_exit(spark, folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.folder = folder
+    return out
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like `cut`, dealt by a hash of the key to as many buckets as shuffles have partitions: joins on the key move only the other side."""
+    spark = df.sparkSession
+    name = f"lodeweave_{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{name}"
+    df.write.bucketBy(partitions(spark), key).option("path", folder).saveAsTable(name, format="parquet")
+    remove_at_exit(spark, folder)
+    out = spark.table(name)
+    out.folder, out.table_name = folder, name
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a frame from `cut` that nothing will read again."""
-    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if file.isDefined():
-        remove(df.sparkSession, file.get())
+    """Delete the files of a frame from `cut` or `bucketed` that nothing will read again."""
+    if hasattr(df, "table_name"):
+        df.sparkSession.sql(f"DROP TABLE {df.table_name}")
+    remove(df.sparkSession, df.folder)
 
 
 def spare(*wanted: str, taken: list[str]) -> list[str]:

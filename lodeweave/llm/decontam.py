@@ -6,21 +6,26 @@ benchmark item gives its windows of `width` consecutive words; an item of fewer
 1. The corpus frequency of every test term is counted. A window may miss 1 - `share` of its terms; one
    of which the corpus lacks more can't occur and goes.
 2. Of the terms that the corpus has, as many of the rarest as the window may still miss, and two more,
-   are its anchors: in any match two of them are there (one, if one term alone makes a match). Postings
-   of anchors near another anchor of the same window are stored: (term, document, position), with the
-   neighbouring tokens on both sides, as far as a window can reach.
-3. Windows meet postings on the anchors. A posting at p puts the window within `slop` of p - offset; the
-   other terms' lists, adjusted by their offsets, are intersected on the neighbours stored with the
-   posting. All terms in place: an exact phrase. At least `share` of them within `slop` of their
-   places: a proximity match.
+   are its anchors: in any match two of them are there (one, if one term alone makes a match).
+3. The index is stored: postings (term, document, position) of the test terms. Where no two anchors of
+   some window are near each other nothing can match, so postings out of a window's reach of such a place
+   are left out, those of frequent terms among them.
+4. Documents and windows meet on the anchors; pairs with two anchors of the window in the document stay.
+   Then the window's posting lists in that document, each adjusted by its term's offset, are intersected
+   from the rarest term to the commonest. A start at which all lists meet is an exact phrase; one at which
+   lists of at least `share` of the terms have a position within `slop` is a proximity match; a start goes
+   as soon as it has missed too many terms.
 
 Both passes over the corpus drop words through a sieve, a bitmap of SIEVE_BITS bits of the terms'
 hashes. Its size is the same for any benchmark and so may be broadcast; the later joins on the terms
-are exact. Everything keyed by a document is keyed by its text's digest: copies share postings.
-
-Defined cases: null and empty texts have no words, no hits, and are not contaminated; an item without
-words has no window; a null item_id counts as the item ''; items of equal id are one item; repeated
-documents give a row each; an empty benchmark hits nothing; an empty corpus gives no rows.
+are exact. Everything keyed by a document is keyed by its text's digest: copies share postings. The
+windows of a document come one after another in a sorted stream, not gathered.
+
+Defined cases: null and empty texts have no words, no hits, and are not contaminated; a very long text is
+one list of words, and its postings are of it alone; an item without words has no window; a null item_id
+counts as the item ''; items of equal id are one item; a null doc_id stays null; repeated documents give a
+row each; an empty benchmark hits nothing; an empty corpus gives no rows; further columns of either table
+are not read, and stay as they are in `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, text_bytes, text_key
+from lodeweave.llm.common import cut, spare, text_bytes, text_key
 
 SIEVE_BITS = 1 << 22
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,7 +50,7 @@ def words(text: bytes) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """item_id (string) and words: the distinct windows of each item."""
+    """words and items (sorted ids as strings): the distinct windows of all items and the items that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +60,10 @@ def windows(benchmark: DataFrame, width: int = 13) -> DataFrame:
                 cuts = [w[i : i + width] for i in range(max(1, len(w) - width + 1))] if w else []
                 ids += [item] * len(cuts)
                 found += cuts
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.string()))], ["item_id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.string()))], ["item", "words"])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "item_id string, words array<string>").distinct()
+    return rows.mapInArrow(run, "item string, words array<string>").groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def sieve(terms: DataFrame) -> bytes:
@@ -96,79 +101,142 @@ def _counts(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
 
-def anchors(wins: DataFrame, freq: DataFrame, share: float = 0.8) -> DataFrame:
-    """Windows that can occur, each with its anchors: term, and offset, its place in the window; others, the terms of which one must be near ('': none must)."""
-    each = wins.select("item_id", "words", F.posexplode("words").alias("offset", "term")).join(freq, "term", "left")
-    present = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "term", "offset"))))
-    held = each.groupBy("item_id", "words").agg(present.alias("present")).withColumn("needed", F.ceil(F.size("words") * share))
-    rare = held.where(F.size("present") >= F.col("needed")).withColumn("rare", F.expr("slice(present, 1, CAST(size(present) - needed + 2 AS INT))"))
-    one = rare.select("item_id", "words", "needed", "rare", F.inline("rare"))
+def anchors(wins: DataFrame, freq: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Of the windows that can occur: words, items, order (offsets from the rarest term on) and needed (terms); and each one's
+    anchors: words, needed, term, others (the terms of which one must be near; '': none must)."""
+    each = wins.select("words", "items", F.posexplode("words").alias("offset", "term")).join(freq, "term", "left")
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("ordered")
+    held = each.groupBy("words").agg(ordered, F.first("items").alias("items")).withColumn("needed", F.ceil(F.size("words") * share).cast("int"))
+    held = held.withColumn("present", F.expr("filter(ordered, x -> x.n > 0)")).where("size(present) >= needed")
+    held = cut(held.select("words", "items", "needed", F.expr("transform(ordered, x -> x.offset)").alias("order"), F.expr("slice(present, 1, size(present) - needed + 2)").alias("rare")))
     others = F.when(F.col("needed") < 2, F.array(F.lit(""))).otherwise(F.expr("transform(filter(rare, x -> x.offset != offset), x -> x.term)"))
-    return one.select("item_id", "words", "term", "offset", others.alias("others"))
+    one = held.select("words", "needed", "rare", F.inline("rare")).select("words", "needed", "term", others.alias("others"))
+    return held.drop("rare"), one
 
 
-def index(docs: DataFrame, anchored: DataFrame, reach: int) -> DataFrame:
-    """doc_id, key, n_words and postings: for each place of an anchor near another its term, position, and up to `reach` words on both sides."""
+def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """doc_id, key, n_words and postings: term, position, and whether it is an anchor, within reach of anchors that are near each other."""
     paired = anchored.select("term", F.explode("others").alias("other")).select(F.concat_ws(" ", "term", "other").alias("term"))
-    held = docs.sparkSession.sparkContext.broadcast((sieve(anchored), sieve(paired)))
+    held = docs.sparkSession.sparkContext.broadcast((sieve(terms), sieve(anchored), sieve(paired)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    posting = pa.struct([("term", pa.string()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.list_(pa.string()))])
+    posting = pa.struct([("term", pa.string()), ("at", pa.int32()), ("anchor", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieved, pairs = held.value
+        tested, sieved, pairs = held.value
         known: dict[bytes, int] = {}
 
-        def postings(w: list[bytes]) -> Iterator[int]:
-            at = [i for i, x in enumerate(w) if known[x]]
+        def meeting(w: list[bytes]) -> Iterator[int]:
+            """Places of anchors with another of the same window in reach (which may be the same place)."""
+            at = [i for i, x in enumerate(w) if known[x] > 1]
             lo = hi = 0
-            for k, i in enumerate(at):
+            for i in at:
                 while at[lo] < i - reach:
                     lo += 1
                 while hi < len(at) and at[hi] <= i + reach:
                     hi += 1
                 own = w[i] + b" "
-                if pairs[crc32(own) % SIEVE_BITS] or any(pairs[crc32(own + w[j]) % SIEVE_BITS] for j in (*at[lo:k], *at[k + 1 : hi])):
+                if pairs[crc32(own) % SIEVE_BITS] or any(pairs[crc32(own + w[j]) % SIEVE_BITS] for j in at[lo:hi]):
                     yield i
 
+        def postings(w: list[bytes]) -> list[dict]:
+            out, done = [], 0
+            for i in meeting(w):
+                for j in range(max(done, i - reach), min(len(w), i + reach + 1)):
+                    if known[w[j]]:
+                        out.append({"term": w[j].decode(), "at": j, "anchor": known[w[j]] > 1})
+                done = max(done, min(len(w), i + reach + 1))
+            return out
+
         for batch in batches:
             sizes, lists = [], []
             for text in batch.column(2).cast(pa.binary()):
                 w = words(text.as_py())
                 if len(known) > 500_000:
                     known.clear()
-                known.update([(x, sieved[crc32(x) % SIEVE_BITS]) for x in {*w} if x not in known])
+                for x in {*w}:
+                    if x not in known:
+                        place = crc32(x) % SIEVE_BITS
+                        known[x] = 2 if sieved[place] else tested[place]
                 sizes.append(len(w))
-                lists.append([{"term": w[i].decode(), "at": i, "lead": min(i, reach), "near": [x.decode() for x in w[max(0, i - reach) : i + reach + 1]]} for i in postings(w)])
+                lists.append(postings(w))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "key", "n_words", "postings"])
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, n_words long, postings array<struct<term:string,at:int,lead:int,near:array<string>>>")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, key binary, n_words long, postings array<struct<term:string,at:int,anchor:boolean>>")
+
+
+def intersect(lists: dict[str, set[int]], window: list[str], order: list[int], needed: int, slop: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Starts of exact phrases, and (start, terms found) of proximity matches, of one window in one document.
+
+    lists: positions of each term. order: the window's offsets, from the rarest term on.
+    """
+    first = order[0]
+    exact = {p - first for p in lists.get(window[first], ())}
+    for i in order[1:]:
+        if not exact:
+            break
+        here = lists.get(window[i], ())
+        exact = {s for s in exact if s + i in here}
+    spare_terms, found = len(window) - needed, {}
+    for k, i in enumerate(order):
+        here = lists.get(window[i], ())
+        if k <= spare_terms:  # a start that has none of the first spare_terms + 1 terms has missed too many
+            for p in here:
+                for s in range(p - i - slop, p - i + slop + 1):
+                    found.setdefault(s, 0)
+        for s in list(found):
+            if any(p in here for p in range(s + i - slop, s + i + slop + 1)):
+                found[s] += 1
+            elif found[s] + len(order) - k - 1 < needed:
+                del found[s]
+    return sorted(exact), sorted((s, n) for s, n in found.items() if n >= needed)
+
+
+def matches(indexed: DataFrame, wins: DataFrame, anchored: DataFrame, slop: int = 2) -> DataFrame:
+    """key, start, length, items, exact, found (terms in or near their places): exact phrases and proximity matches."""
+    held = cut(indexed.where("size(postings) > 0").groupBy("key").agg(F.first("postings").alias("postings")))  # of equal texts, so equal
+    terms = held.select("key", F.explode(F.expr("array_distinct(transform(filter(postings, x -> x.anchor), x -> x.term))")).alias("term"))
+    pairs = terms.join(anchored.drop("others"), "term").groupBy("key", "words").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where(F.col("n") >= F.least(F.lit(2), "needed"))
+    asked = pairs.select("key", "words").join(wins, "words").select("key", "words", "items", "needed", "order")
+    none = F.lit(None)
+    lists = held.select("key", none.cast("array<string>").alias("words"), none.cast("array<string>").alias("items"), none.cast("int").alias("needed"), none.cast("array<int>").alias("order"), "postings")
+    rows = lists.unionByName(asked.withColumn("postings", none.cast(held.schema["postings"].dataType)))
+    rows = rows.repartition("key").sortWithinPartitions("key", F.col("words").isNotNull())
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
 
-def matches(indexed: DataFrame, anchored: DataFrame, slop: int = 2, share: float = 0.8) -> DataFrame:
-    """key, start, length, item_id, exact, found (terms in or near their places): exact phrases and proximity matches."""
-    postings = indexed.select("key", F.inline("postings")).dropDuplicates(["key", "at"])
-    both = postings.join(anchored.drop("others"), "term").withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    first = "(lead - `offset` + shift)"  # of the window in near; negative if it starts before the stored words
-    places = f"sequence(0, size(words) - 1)"
-    found = F.expr(f"size(filter({places}, i -> array_contains(slice(near, greatest({first} + i - {slop}, 0) + 1, greatest(least({first} + i, {first} + i + {slop}) - greatest({first} + i - {slop}, 0) + 1 + {slop}, 0)), words[i])))")
-    exact = F.expr(f"{first} >= 0 AND slice(near, greatest({first}, 0) + 1, size(words)) = words")
-    out = both.select("key", (F.col("at") - F.col("offset") + F.col("shift")).alias("start"), F.size("words").alias("length"), "item_id", exact.alias("exact"), found.alias("found"))
-    return out.where(F.col("exact") | (F.col("found") >= F.ceil(F.col("length") * share)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[str, set[int]] = {}
+        for batch in batches:
+            out = []
+            for key, window, items, needed, order, postings in zip(*batch.columns, strict=True):
+                if not window.is_valid:
+                    lists = {}
+                    for p in postings.as_py():
+                        lists.setdefault(p["term"], set()).add(p["at"])
+                    continue
+                window = window.as_py()
+                exact, near = intersect(lists, window, order.as_py(), needed.as_py(), slop)
+                if exact or near:
+                    key, items, n = key.as_py(), items.as_py(), len(window)
+                    out += [(key, s, n, items, True, n) for s in exact] + [(key, s, n, items, False, k) for s, k in near if s not in {*exact}]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "length", "items", "exact", "found"])
+
+    return rows.mapInArrow(run, "key binary, start int, length int, items array<string>, exact boolean, found int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 2, share: float = 0.8) -> DataFrame:
     """Per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items by proximity alone)."""
     wins = cut(windows(benchmark, width))
     terms = wins.select(F.explode("words").alias("term")).distinct()
-    anchored = cut(anchors(wins, frequencies(docs, terms), share))
-    indexed = cut(index(docs, anchored, width - 1 + 2 * slop))
-    found = matches(indexed, anchored, slop, share)
-    exact = found.where("exact").select("key", "start", "length", "item_id").distinct()
+    held, anchored = anchors(wins, frequencies(docs, terms), share)
+    indexed = cut(index(docs, anchored, terms, width - 1 + 2 * slop))
+    found = cut(matches(indexed, held, anchored, slop))
+    exact = found.where("exact")
     hit = exact.select("key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = exact.select("key", "item_id").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    near = found.groupBy("key", "item_id").agg(F.max("exact").alias("exact")).groupBy("key").agg(F.count_if(~F.col("exact")).alias("n_near"))
-    by_key = near.join(hit, "key", "left").join(items, "key", "left")
+    by_item = found.select("key", "exact", F.explode("items").alias("item")).groupBy("key", "item").agg(F.max("exact").alias("exact"))
+    items = by_item.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if(~F.col("exact")).alias("n_near"))
+    by_key = cut(items.join(hit, "key", "left"))  # apart, so that a frequent text can be split
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return indexed.select("doc_id", "key", "n_words").join(by_key, "key", "left").select(
@@ -179,5 +247,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The documents that are not contaminated, with the columns of docs."""
-    bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("key").alias("_bad")).distinct()
-    return docs.withColumn("_key", text_key(F.col("text"))).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    key, bad_key = spare("_key", "_bad", taken=docs.columns)
+    bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("key").alias(bad_key)).distinct()
+    return docs.withColumn(key, text_key(F.col("text"))).join(bad, F.col(key) == F.col(bad_key), "left_anti").drop(key)

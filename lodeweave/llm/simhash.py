@@ -42,20 +42,29 @@ BLOCK = 512  # FAN to the power of 3: a block has three levels of its own
 _FAN_BITS = 3
 
 
-def fingerprint(text: str | bytes | None, width: int = 3) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingles(text: str | bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, in order."""
     words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     n = len(words) - width + 1
     parts = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer."""
     bits = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounds the unpacked bits of a very long text
+    for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
         bits += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | bytes | None, width: int = 3) -> int:
+    """The fingerprint as an unsigned integer."""
+    return majority(shingles(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

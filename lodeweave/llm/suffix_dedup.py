@@ -1,35 +1,39 @@
-"""Removal of repeated byte strings by prefix doubling over sorted text positions.
-
-Every byte covered by a string of `length` bytes that also starts elsewhere is removed. The starts of
-such strings are found as in building a suffix array: positions get a rank (a name) for the prefix
-that starts there, positions whose rank is unique leave, and the rest are ranked again by a longer
-prefix, until that reaches `length`. Two things make the rounds few and small:
-
-- A rank is a 64-bit hash, so it needs no rank from elsewhere and the first round may begin at a long
-  prefix: about length / 2, as shorter ones leave the same positions.
-- Every start p has an anchor, the place with the least hash of 8 bytes among the next about length / 2.
-  Equal strings have equal anchors, so a round sorts runs of neighbouring starts with one anchor instead
-  of single starts: (rank of the bytes that all strings of the run share, rank of all bytes of the run's
-  strings). The first round has a run for each anchor, about one in length / 4 bytes.
-
-A round counts equal ranks. A run whose shared bytes are unique leaves: none of its strings is repeated.
-A run whose bytes are repeated as a whole has only repeated strings. What is left goes on, with one run
-standing for each class of equal ones, cut into shorter runs at the same distances from the anchor, so
-that what they share grows: from about length / 2 bytes to length - BIN and then to `length`, where a run
-is one start and its rank decides. Ranks are compared together with the rank of the round before, so
-the last one has 128 bits.
-
-No group is gathered: ranks are counted with partial sums and joined back. Texts are keyed by their
-digest, so that copies share one entry, and are shuffled once for all rounds and the result.
-
-Defined cases: null text is empty; texts of under `length` bytes stay whole; a repeated row, or a copy,
-is an occurrence elsewhere; strings are judged on the input; a null doc_id is a row like any other; an
-empty table gives no rows; further columns are not read.
+"""Removal of repeated byte strings by prefix doubling over sorted positions of texts.
+
+Every byte covered by a string of `length` bytes that also starts elsewhere is removed. The starts of such
+strings are found as in building a suffix array by prefix doubling: a position has a rank, the name of the
+prefix that starts there; a round sorts pairs of ranks (that of the prefix so far, that at a growing
+offset), positions whose pair is unique leave, and the others get the pair's name as their rank, until
+prefixes reach `length`. Two things make the rounds small:
+
+- Ranks are names by hash, 64 bits for each half of a pair, so that no rank must be fetched from elsewhere.
+- Only anchors are sorted, not all positions. Every start p has an anchor, the place with the least hash of
+  8 bytes among the first ones of its string. Equal strings have equal anchors, so one row stands for the
+  run of neighbouring starts with one anchor.
+
+The first round pairs the ranks of the two halves of the first FIRST bytes from each anchor. What all
+strings of a run share begins at its anchor or before and grows as the run is cut into shorter ones, at the
+same distances from the anchor: from FIRST bytes over length - 143 and length - 15 to `length`, where a run
+is one start and its rank decides. Each round pairs the rank so far with that of what a shorter run shares.
+
+A run whose shared bytes are unique leaves: none of its strings is repeated. A run all of whose bytes (the
+rank `whole`) are repeated has only repeated strings. What is left goes on, with one run standing for each
+class of equal ones.
+
+No group is gathered: pairs are counted with partial sums, written, and joined back, which lets adaptive
+execution split a frequent pair. Texts are keyed by their digest and stored once, with their number of
+copies, in buckets by that key: later rounds read them without an exchange. All bytes of copies are removed.
+
+Defined cases: null text is empty; texts of under `length` bytes stay whole; a repeated row, or a copy, is
+an occurrence elsewhere; strings are judged on the input; a very long text is one row, its anchors found in
+linear time; a null doc_id is a row like any other; an empty table gives no rows; further columns are not
+read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -38,10 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lodeweave.llm.common import cut, text_bytes, text_key
+from lodeweave.llm.common import bucketed, cut, release, text_bytes, text_key
 
 GRAM = 8
-BIN = 16
+FIRST = 64
+#: Numbers of starts in a run, in the rounds after the first.
+SIZES = (144, 16, 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,9 +60,14 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], forth[width - 1 : n])
 
 
+def first_bytes(length: int) -> int:
+    """What all strings of an anchor's run share at the least."""
+    return min(FIRST, length // 2 + GRAM)
+
+
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first start, last start) of each run of starts with one anchor; the text has `length` bytes at least."""
-    spread = length // 2 - GRAM
+    spread = length - first_bytes(length) + 1
     starts = len(text) - length + 1
     grams = np.ndarray(starts + spread - 1, "<u8", text, strides=(1,)) * _ODD
     grams ^= grams >> np.uint64(29)
@@ -73,34 +84,39 @@ def _placed(lo: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray:
     return (lo.astype(np.int64) << 32) | (n.astype(np.int64) << 16) | back.astype(np.int64)
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """key, run, rank and whole for the anchors of docs (key, text)."""
-    shared = length - (length // 2 - GRAM) + 1
-    names = ["key", "run", "rank", "whole"]
+_ROW = "key binary, run long, n long, above long, rank long, whole long"
+
+
+def _rows(batch: pa.RecordBatch, of: list[int], runs: list[int], n: list[int], names: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    above, rank, whole = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*names, strict=True))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(runs, pa.int64()), pa.array(n, pa.int64()), above, rank, whole], ["key", "run", "n", "above", "rank", "whole"])
+
+
+def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """A row for each anchor's run: the ranks of the two halves of its first bytes, and of all its strings' bytes."""
+    shared = first_bytes(length)
+    half = shared // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, runs, ranks, wholes = [], [], [], []
-            for i, value in enumerate(batch.column(1).cast(pa.binary())):
+            of, runs, n, names = [], [], [], []
+            for i, (value, copies) in enumerate(zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True)):
                 t = value.as_py()
                 if len(t) < length:
                     continue
                 at, lo, hi = anchors(t, length)
                 of += [i] * len(at)
-                runs.append(_placed(lo, hi - lo + 1, at - lo))
+                n += [copies] * len(at)
+                runs += _placed(lo, hi - lo + 1, at - lo).tolist()
                 for a, p, q in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    ranks.append(xxh3_64_intdigest(t[a : a + shared]))
-                    wholes.append(xxh3_64_intdigest(t[p : q + length], a - p))
-                if len(of) > 100_000:
-                    yield emit(batch, of, runs, ranks, wholes)
-                    of, runs, ranks, wholes = [], [], [], []
+                    names.append((xxh3_64_intdigest(t[a : a + half]), xxh3_64_intdigest(t[a + half : a + shared]), xxh3_64_intdigest(t[p : q + length], a - p)))
+                if len(of) > 50_000:
+                    yield _rows(batch, of, runs, n, names)
+                    of, runs, n, names = [], [], [], []
             if of:
-                yield emit(batch, of, runs, ranks, wholes)
+                yield _rows(batch, of, runs, n, names)
 
-    def emit(batch, of, runs, ranks, wholes):
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(runs)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ranks, wholes))], names)
-
-    return docs.mapInArrow(run, "key binary, run long, rank long, whole long")
+    return texts.select("key", "text", "n").mapInArrow(run, _ROW)
 
 
 def shorter_runs(text: bytes, run: int, length: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -115,29 +131,27 @@ def shorter_runs(text: bytes, run: int, length: int, size: int) -> Iterator[tupl
 
 
 def _shorter_rows(texts: DataFrame, asks: DataFrame, length: int, size: int) -> DataFrame:
-    """key, run, above, rank, whole, single for the parts of the runs in asks (key, asks: run, rank, single)."""
-    names = ["key", "run", "above", "rank", "whole", "single"]
+    """The parts of the runs in asks (key, asks: run, n, above), of `size` starts each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, rows = [], []
+            of, runs, n, names = [], [], [], []
             for i, (text, asked) in enumerate(zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True)):
                 t = text.as_py()
                 for ask in asked.as_py():
-                    made = [(r, ask["rank"], k, w, ask["single"]) for r, k, w in shorter_runs(t, ask["run"], length, size)]
-                    of += [i] * len(made)
-                    rows += made
-                    if len(of) > 100_000:
-                        yield emit(batch, of, rows)
-                        of, rows = [], []
+                    above = ask["above"] & 0xFFFFFFFFFFFFFFFF
+                    for r, rank, whole in shorter_runs(t, ask["run"], length, size):
+                        of.append(i)
+                        runs.append(r)
+                        n.append(ask["n"])
+                        names.append((above, rank, whole))
+                    if len(of) > 50_000:
+                        yield _rows(batch, of, runs, n, names)
+                        of, runs, n, names = [], [], [], []
             if of:
-                yield emit(batch, of, rows)
-
-    def emit(batch, of, rows):
-        runs, above, rank, whole, single = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(runs, pa.int64()), pa.array(above, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (rank, whole)), pa.array(single)], names)
+                yield _rows(batch, of, runs, n, names)
 
-    return texts.join(asks, "key").select("key", "text", "asks").mapInArrow(run, "key binary, run long, above long, rank long, whole long, single boolean")
+    return texts.join(asks, "key").select("key", "text", "asks").mapInArrow(run, _ROW)
 
 
 def cut_spans(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -156,53 +170,64 @@ def cut_spans(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[
     return [(lo, hi) for lo, hi in runs], b"".join(kept)
 
 
-def _not_unique(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose rank occurs again, and whether all rows of that rank are equal as wholes."""
-    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1")
-    return rows.join(counted, by).select(*rows.columns, (F.col("_a") == F.col("_b")).alias("same"))
+_PAIR = ["above", "rank"]
 
 
-def _settled(left: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """key, run of those that are repeated as wholes; key, asks of one run for each class of the others.
+def _not_unique(rows: DataFrame) -> DataFrame:
+    """The rows whose pair of ranks occurs again, and whether all rows of that pair are equal as wholes."""
+    counted = cut(rows.groupBy(*_PAIR).agg(F.sum("n").alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1"))
+    left = cut(rows.join(counted, _PAIR).select(*rows.columns, (F.col("_a") == F.col("_b")).alias("same")))
+    release(counted)
+    return left
 
-    single: the run stands for itself alone; others stand for runs already found repeated.
-    """
-    classes = left.where("NOT same").groupBy(*by, "whole").agg(((F.count(F.lit(1)) > 1) | ~F.bool_and("single")).alias("many"), F.min(F.struct("key", "run")).alias("one"))
-    found = left.join(classes.where("many").select(*by, "whole", "many"), [*by, "whole"], "left").where("single AND (same OR many)").select("key", "run")
-    ask = F.struct(F.col("one.run").alias("run"), "rank", (~F.col("many")).alias("single"))
-    return found, classes.select("one.key", ask.alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
 
+def _settled(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, run of those that are repeated as wholes; key, asks of one run for each class of the others.
 
-def repeated_starts(keyed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """key, run: the runs of starts of repeated strings. keyed: key, text of all rows; texts: of each key once."""
-    first = _anchor_rows(keyed, length).withColumn("single", F.lit(True))
-    found, asks = _settled(cut(_not_unique(first, ["rank"])), ["rank"])
-    found = found.distinct()
-    pair = ["above", "rank"]
-    more, asks = _settled(_not_unique(_shorter_rows(texts, asks, length, BIN), pair), pair)
-    last = _not_unique(_shorter_rows(texts, asks, length, 1), pair).where("single").select("key", "run")
-    return found.unionByName(more).unionByName(last)
+    n: 1 for a run that stands for itself alone; others stand for copies, or for runs already found repeated.
+    """
+    classes = cut(left.where("NOT same").groupBy(*_PAIR, "whole").agg(F.sum("n").alias("total"), F.min(F.struct("key", "run")).alias("one")))
+    many = classes.where("total > 1").select(*_PAIR, "whole", F.lit(True).alias("many"))
+    found = left.where("n = 1").join(many, [*_PAIR, "whole"], "left").where("same OR many").select("key", "run")
+    ask = F.struct(F.col("one.run").alias("run"), F.least("total", F.lit(2)).alias("n"), F.xxhash64(*_PAIR).alias("above"))
+    return cut(found), classes.select("one.key", ask.alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))  # of one text's own runs
+
+
+def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
+    """key, run: the runs of starts of repeated strings of texts without copies. texts: key, text, n (number of copies)."""
+    left, out = None, []
+    for size in (0, *(k for k in SIZES if k < length - first_bytes(length) + 1 or k == 1)):
+        if size:
+            settled, asks = _settled(left)
+            release(left)
+            out.append(settled)
+        rows = cut(_shorter_rows(texts, asks, length, size) if size else _anchor_rows(texts, length))
+        left = _not_unique(rows)
+        release(rows)
+    return reduce(DataFrame.unionByName, [*out, left.where("n = 1").select("key", "run")])
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes also spans and kept (the bytes that are left)."""
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text")).where("key IS NOT NULL")
-    texts = keyed.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-    spans = repeated_starts(keyed.select("key", "text"), texts, length).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    texts = bucketed(keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "key")
+    spans = repeated_starts(texts, length).groupBy("key").agg(F.collect_list("run").alias("runs"))
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "kept"] * keep_bytes]
     span = pa.struct([("from", pa.int32()), ("to", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for text, found, n in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 t = text.as_py()
-                runs, kept = cut_spans(t, [(r >> 32, r >> 16 & 0xFFFF) for r in found.as_py() or ()], length)
+                starts = [(0, len(t) - length + 1)] if n > 1 and len(t) >= length else [(r >> 32, r >> 16 & 0xFFFF) for r in found.as_py() or ()]
+                runs, kept = cut_spans(t, starts, length)
                 out.append((len(t), len(t) - len(kept), len(runs), sha256(kept).hexdigest(), *[[{"from": a, "to": b} for a, b in runs], kept] * keep_bytes))
             columns = list(zip(*out, strict=True)) or [[]] * (len(names) - 1)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names)
 
     schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<from:int,to:int>>, kept binary" * keep_bytes
-    done = texts.join(spans, "key", "left").select("key", "text", "runs").mapInArrow(run, schema)
+    done = cut(texts.join(spans, "key", "left").select("key", "text", "runs", "n").mapInArrow(run, schema))
+    release(texts)
     return keyed.select("doc_id", "key").join(done, "key").drop("key")

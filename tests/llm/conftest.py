@@ -8,9 +8,9 @@ ODD_TEXTS = [None, "", " \n\t", "a", "The only one.\nAnd another line here, of s
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Rows of documents with every oddity, and columns named as an operator might name its own."""
-    rows = [(i, t, ["en", None, "de"][i % 3], [None, "s0"][i % 2], None if t is None else len(t), "k", 1, "b") for i, t in enumerate(ODD_TEXTS)]
-    rows += [(None, "no id", None, None, None, None, None, None), (None, None, None, None, None, None, None, None), rows[4], rows[4]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int, term string")
+    rows = [(i, t, ["en", None, "de"][i % 3], [None, "s0"][i % 2], None if t is None else len(t), "k", 1, "x", i, [i], i, "s", "b") for i, t in enumerate(ODD_TEXTS)]
+    rows += [(None, "no id", *[None] * 11), (None, None, *[None] * 11), rows[4], rows[4]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int, _key string, _gone int, stats array<int>, fp long, _lines string, term string")
 
 
 @pytest.fixture(scope="session")
