@@ -18,6 +18,8 @@ from lodeweave.sources.schemas import WINDOWS
 
 #: Signals are summed as decimals, so that sums don't depend on the order of rows.
 EXACT = "decimal(28,10)"
+#: A hundred years.
+MAX_HOURS = 876_600
 
 
 def locations(obs: DataFrame) -> DataFrame:
@@ -53,11 +55,15 @@ def vocabulary(obs: DataFrame) -> list[str]:
 
 
 def hourly_grid(times: DataFrame, column: str = "timestamp", include_last: bool = False) -> DataFrame:
-    """One row per hour from the first to before the last timestamp rounded up; `include_last` adds that hour if it is on the hour."""
+    """One row per hour from the first to before the last timestamp rounded up; `include_last` adds that hour if it is on the hour.
+
+    A span of over MAX_HOURS, as by one stray timestamp, is an error: so the grid is small enough to send.
+    """
     bounds = times.agg(hour(F.min(column)).alias("lo"), next_hour(F.max(column)).alias("hi"), F.max(column).alias("last"))
     hi = F.when(F.col("hi") == F.col("last"), F.col("hi") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("hi")) if include_last else F.col("hi")
     hours = bounds.select("lo", hi.alias("hi"))
-    return hours.select(F.explode(F.expr("if(hi > lo, sequence(lo, hi - INTERVAL 1 HOUR, INTERVAL 1 HOUR), array())").cast("array<timestamp_ntz>")).alias("timestamp"))
+    steps = F.expr(f"if(timestampdiff(HOUR, lo, hi) > {MAX_HOURS}, raise_error(concat('the grid would span ', lo, ' to ', hi)), if(hi > lo, sequence(lo, hi - INTERVAL 1 HOUR, INTERVAL 1 HOUR), array()))")
+    return hours.select(F.explode(steps.cast("array<timestamp_ntz>")).alias("timestamp"))
 
 
 def pivot(signals: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -115,9 +121,11 @@ def candidates(obs: DataFrame, cell: str) -> DataFrame:
 
 
 def paired_lists(obs: DataFrame) -> DataFrame:
-    """Lists of (obs_id, weight) by cell and of (type, weight) by obs_id, as aligned structs, exploded side by side: obs_id, h3_res3, measurement_type, signal_weight."""
-    by_cell = obs.where("location_weight IS NOT NULL").groupBy("h3_res3").agg(F.collect_list(F.struct("obs_id", "location_weight")).alias("held"))
-    by_obs = obs.where("measurement_type IS NOT NULL").groupBy("obs_id").agg(F.collect_list(F.struct("measurement_type", "measurement_weight")).alias("measured"))
-    rows = by_cell.select("h3_res3", F.inline("held")).join(by_obs, "obs_id", "left")
-    rows = rows.select("obs_id", "h3_res3", "location_weight", F.inline_outer("measured"))
+    """A cell's (obs_id, weight) with the (type, weight) of each obs_id: obs_id, h3_res3, measurement_type, signal_weight.
+
+    What lists by cell and by obs_id, exploded side by side, would give; no list is made, so a cell may be of any size.
+    """
+    held = obs.where("location_weight IS NOT NULL").select("obs_id", "h3_res3", "location_weight")
+    measured = obs.where("measurement_type IS NOT NULL").select("obs_id", "measurement_type", "measurement_weight")
+    rows = held.join(measured, "obs_id", "left")
     return rows.select("obs_id", "h3_res3", "measurement_type", (F.col("location_weight") * F.col("measurement_weight")).alias("signal_weight"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import hex_to_long, morton, path_pairs
+from lodeweave.sources.storage import located, open_store, remove
 
 GEO_KEYS = {"category": "unknown", "tag": "unknown", "country_code": "unknown", "h3_cell": "unknown"}
 DATE_KEYS = {"year": 0, "month": 0, "day": 0, "h3_cell": "unknown"}
@@ -49,6 +55,51 @@ def write_cells(df: DataFrame, path: str, cell: str = "h3_res3", folder: str = "
     df.withColumn(folder, F.col(cell)).repartition(folder).write.mode(mode).partitionBy(folder).parquet(path)
 
 
+def write_key_files(df: DataFrame, base: str, keys: dict[str, str | int]) -> DataFrame:
+    """One file for each key, at `partition_path`; return a frame of path and rows of all files.
+
+    Rows are dealt and sorted by key and streamed into Parquet of pages v2 with statistics, so a key of any size
+    is never gathered. A file gets its name once it is whole: a repeated or lost attempt changes nothing.
+    """
+    rows = df.withColumn("_path", partition_path(keys))
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_store(base)
+        now = writer = part = None
+        n, made = 0, []
+
+        def close():
+            if writer is not None:
+                writer.close()
+                system.move(part, f"{root}/{now}")
+                made.append((now, n))
+
+        for batch in batches:
+            paths = batch.column(len(columns)).to_pylist()
+            own = batch.select(columns)
+            at = 0
+            while at < len(paths):
+                upto = at
+                while upto < len(paths) and paths[upto] == paths[at]:
+                    upto += 1
+                if paths[at] != now:
+                    close()
+                    now, n = paths[at], 0
+                    system.create_dir(f"{root}/{now.rpartition('/')[0]}", recursive=True)
+                    part = f"{root}/{now}.{uuid.uuid4().hex}"
+                    writer = pq.ParquetWriter(part, own.schema, filesystem=system, compression="snappy", version="2.6", data_page_version="2.0", write_statistics=True)
+                writer.write_batch(own.slice(at, upto - at))
+                n += upto - at
+                at = upto
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "rows"])
+
+    listed = f"{base.rstrip('/')}/_files"
+    rows.repartition("_path").sortWithinPartitions("_path").mapInArrow(run, "path string, rows long").write.mode("overwrite").parquet(listed)
+    return df.sparkSession.read.parquet(listed)
+
+
 def partition_path(keys: dict[str, str | int]) -> Column:
     """The path of a row's file below the base: folders of all keys but the last, whose value is the file's name."""
     *folders, last = keys
@@ -100,8 +151,46 @@ def zorder_rewrite(spark: SparkSession, source: str, target: str, cell: str = "h
     return {"files_removed": files(spark, source).count(), "files_added": files(spark, target).count()}
 
 
+def create_log(spark: SparkSession, path: str, keys: Sequence[str] = (), name: str | None = None) -> DataFrame:
+    """Version 0 of a transaction log over existing Parquet files: protocol, metadata with the schema of the files and
+    their folders, and an Add action for each file. Return the Add actions.
+
+    The log is one file by its format; its actions are made by Spark and written by one task as a stream.
+    """
+    root = path.rstrip("/")
+    schema = spark.read.option("basePath", root).parquet(root).schema
+    missing = sorted(set(keys) - set(schema.names))
+    if missing:
+        raise ValueError(f"not among the folders: {', '.join(missing)}")
+    system, where = located(spark, root)
+    prefix = system.makeQualified(where).toString() + "/"
+    listed = files(spark, root)
+    relative = F.regexp_replace(F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/"), "^" + re.escape(re.sub(r"^([a-z0-9]+):/+", r"\1:/", prefix)), "")
+    held = F.map_filter("partition_values", lambda k, _: k.isin(*keys)) if keys else F.create_map().cast("map<string,string>")
+    adds = listed.select(relative.alias("path"), held.alias("partitionValues"), "size", F.col("modification_time").alias("modificationTime"), F.col("data_change").alias("dataChange"))
+    head = [
+        {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}},
+        {"metaData": {"id": str(uuid.uuid4()), **({"name": name} if name else {}), "format": {"provider": "parquet", "options": {}}, "schemaString": schema.json(), "partitionColumns": list(keys), "configuration": {}}},
+    ]
+    lines = adds.select(F.lit(1).alias("part"), F.to_json(F.struct(F.struct(*adds.columns).alias("add"))).alias("value"))
+    first = spark.createDataFrame([(0, json.dumps(h)) for h in head], "part int, value string")
+    made = f"{root}/_delta_log/_made-{uuid.uuid4().hex}"
+    first.unionByName(lines).coalesce(1).sortWithinPartitions("part").select("value").write.text(made)
+    system, _ = located(spark, made)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    (part,) = [f.getPath() for f in system.listStatus(path_of(made)) if f.getPath().getName().startswith("part-")]
+    target = path_of(f"{root}/_delta_log/{0:020d}.json")
+    if system.exists(target):
+        remove(spark, made)
+        raise FileExistsError(f"{target} is there already")
+    system.rename(part, target)
+    remove(spark, made)
+    return spark.read.json(target.toString()).where("add IS NOT NULL").select("add.*")
+
+
 def create_table(spark: SparkSession, name: str, path: str, keys: Sequence[str] = ()) -> None:
-    """A table over existing Parquet files: by the Delta package where it is installed, else an external one with its partitions."""
+    """A table over existing Parquet files: by the Delta package where it is installed, else an external one with its
+    partitions and, as version 0 of its log, `create_log`'s."""
     try:
         import delta  # noqa: F401
     except ImportError:
@@ -110,6 +199,7 @@ def create_table(spark: SparkSession, name: str, path: str, keys: Sequence[str]
         spark.sql(f"CREATE TABLE {name} ({kinds}) USING parquet {f'PARTITIONED BY ({", ".join(keys)})' if keys else ''} LOCATION '{path}'")
         if keys:
             spark.sql(f"MSCK REPAIR TABLE {name}")
+        create_log(spark, path, keys, name)
     else:
         kinds = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema.fields}
         spark.sql(f"CONVERT TO DELTA parquet.`{path}` {f'PARTITIONED BY ({", ".join(f"{k} {kinds[k]}" for k in keys)})' if keys else ''}")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import ratio
@@ -31,25 +32,38 @@ def topk_metrics(df: DataFrame, score_col: str, label_col: str, fracs: Sequence[
     return out.withColumns({"recall_at_k": ratio(F.col("tp_at_k"), F.col("n_pos")), "precision_at_k": ratio(F.col("tp_at_k"), F.col("k_count"))})
 
 
+def _range_of(x: str, bounds: Sequence[float]) -> Column:
+    """How many of the sorted bounds are at most x, by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    steps = len(bounds).bit_length()
+    held = f"array({','.join(f'{b!r}D' for b in bounds)})"
+    return F.expr(f"aggregate(sequence({steps - 1}, 0, -1), 0, (n, k) -> if(n + shiftleft(1, k) <= {len(bounds)}, if(element_at({held}, least(n + shiftleft(1, k), {len(bounds)})) <= {x}, n + shiftleft(1, k), n), n))")
+
+
+def _bounds(values: DataFrame, x: str, bins: int) -> list[float]:
+    """At most bins - 1 values that cut the distinct values into ranges of about equal numbers."""
+    found = values.agg(F.percentile_approx(x, [k / bins for k in range(1, bins)], 20 * bins)).first()[0]
+    return sorted({float(b) for b in found or ()})
+
+
 def _by_score(df: DataFrame, score_col: str, label_col: str, bins: int) -> DataFrame:
     """s, n, pos, and cumulated counts from the highest score down: all, tp. Ties are one step.
 
-    Cumulating is in two levels, so that no task sorts all scores: sums of `bins` ranges of scores first,
-    then within each range.
+    Cumulating is in two levels, so that no task sorts all scores: sums of `bins` ranges of about as many
+    distinct scores first, wherever these crowd, then within each range.
     """
-    steps = df.where(F.col(score_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(score_col).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("long")).alias("pos"))
-    lo, hi = steps.agg(F.min("s"), F.max("s")).first()
-    width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
-    steps = steps.withColumn("bin", F.least(F.floor((F.col("s") - F.lit(lo or 0.0)) / width), F.lit(bins - 1)))
+    steps = df.where(F.col(score_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("long")).alias("pos"))
+    steps = steps.withColumn("bin", _range_of("s", _bounds(steps, "s", bins)))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bases = steps.groupBy("bin").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
     bases = bases.select("bin", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"))
     w = Window.partitionBy("bin").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     within = steps.withColumns({"n1": F.sum("n").over(w), "p1": F.sum("pos").over(w)})
-    return within.join(F.broadcast(bases), "bin").select("s", "n", "pos", (F.col("n0") + F.col("n1")).alias("all"), (F.col("p0") + F.col("p1")).alias("tp"))
+    return within.join(F.broadcast(bases), "bin").select("s", "n", "pos", (F.col("n0") + F.col("n1")).alias("all"), (F.col("p0") + F.col("p1")).alias("tp"))  # `bins` rows
 
 
-def ranking(df: DataFrame, score_col: str, label_col: str, bins: int = 1024) -> DataFrame:
+def ranking(df: DataFrame, score_col: str, label_col: str, bins: int = 256) -> DataFrame:
     """One row: n, event_rate, average_precision (step-wise), roc_auc (ties count half), lift (average precision / event rate)."""
     steps = _by_score(df, score_col, label_col, bins)
     sums = steps.agg(
@@ -61,7 +75,26 @@ def ranking(df: DataFrame, score_col: str, label_col: str, bins: int = 1024) ->
     return out.withColumn("lift", ratio(F.col("average_precision"), F.col("event_rate")))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """name, min, p01, p50, p99, max of each column (exact, linear between ranks)."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
-    return long.groupBy("name").agg(F.min("x").alias("min"), *[F.percentile("x", F.lit(q)).alias(k) for q, k in ((0.01, "p01"), (0.5, "p50"), (0.99, "p99"))], F.max("x").alias("max"))
+def quantiles(df: DataFrame, columns: Sequence[str], bins: int = 256) -> DataFrame:
+    """name, min, p01, p50, p99, max of each column (exact, linear between ranks).
+
+    Ranks are in two levels, as in `ranking`: sums of ranges of distinct values, then within each.
+    """
+    shares = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    out = []
+    for c in columns:
+        values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        values = values.withColumn("bin", _range_of("x", _bounds(values, "x", bins)))
+        below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bases = values.groupBy("bin").agg(F.sum("n").alias("bn")).select("bin", F.coalesce(F.sum("bn").over(below), F.lit(0)).alias("n0"), F.sum("bn").over(Window.partitionBy()).alias("all"))
+        upto = F.sum("n").over(Window.partitionBy("bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        ranks = values.withColumn("n1", upto).join(F.broadcast(bases), "bin").select("x", "all", (F.col("n0") + F.col("n1") - F.col("n")).alias("lo"), (F.col("n0") + F.col("n1")).alias("hi"))  # `bins` rows
+        at = {k: F.lit(q) * (F.col("all") - 1) for k, q in shares.items()}
+
+        def place(rank: Column) -> Column:
+            return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
+
+        found = ranks.agg(F.min("x").alias("min"), F.max("x").alias("max"), F.max("all").alias("all"), *[f for k, p in at.items() for f in (place(F.floor(p)).alias(f"{k}_lo"), place(F.ceil(p)).alias(f"{k}_hi"))])
+        share = {k: at[k] - F.floor(at[k]) for k in shares}
+        out.append(found.select(F.lit(c).alias("name"), "min", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * share[k]).alias(k) for k in shares], "max"))
+    return reduce(DataFrame.unionByName, out)

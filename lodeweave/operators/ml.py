@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.metrics import ranking
+from lodeweave.sources.storage import write_text
 
 #: Half-open time splits. Fixed values.
 SPLITS = {"train": ("2024-01-01", "2024-05-01"), "val": ("2024-05-01", "2024-06-01"), "test": ("2024-06-01", "2024-07-01")}
@@ -92,16 +92,14 @@ def importances(model, names: Sequence[str], top: int = 25) -> list[tuple[str, f
 
 
 def evaluate(model, data: DataFrame, names: Sequence[str], run_dir: str | None = None, params: dict | None = None, split: str = "test") -> dict:
-    """Metrics of a split; with run_dir also metrics.json, params.json, feature_importance_gain.json and predictions as Parquet."""
+    """Metrics of a split; with run_dir, a folder in any store, also metrics.json, params.json, feature_importance_gain.json and predictions as Parquet."""
     scored = predict(model, data.where(F.col("split") == split))
     found = ranking(scored, "prediction", "label").first().asDict()
     ranked = importances(model, names)
     if run_dir:
-        folder = Path(run_dir)
-        folder.mkdir(parents=True, exist_ok=True)
         for name, value in (("metrics", found), ("params", params or {}), ("feature_importance_gain", dict(ranked))):
-            (folder / f"{name}.json").write_text(json.dumps(value, indent=2))
-        scored.select("label", "prediction").write.mode("overwrite").parquet(str(folder / "predictions.parquet"))
+            write_text(data.sparkSession, f"{run_dir}/{name}.json", json.dumps(value, indent=2))
+        scored.select("label", "prediction").write.mode("overwrite").parquet(f"{run_dir}/predictions.parquet")
     return found | {"importances": ranked}
 
 

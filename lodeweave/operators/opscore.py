@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,25 +81,30 @@ def ewma(df: DataFrame, averages: dict[str, tuple[str, float, bool]], dealt: boo
     """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{k}` double" for k in averages])
 
+    def same(a, b) -> bool:
+        return a == b or pd.isna(a) and pd.isna(b)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, segment, state = None, None, {}
         for batch in batches:
-            cells = batch["h3_cell"].tolist()
-            segments = batch["seg_id"].tolist() if "seg_id" in batch else [0] * len(batch)
-            values = {k: batch[c].tolist() for k, (c, *_) in averages.items()}
-            out = {k: [] for k in averages}
-            for i in range(len(batch)):
-                if cells[i] != cell or i == 0 and cell is None:
-                    cell, segment, state = cells[i], segments[i], {}
-                elif segments[i] != segment:
-                    segment = segments[i]
-                    state = {k: v for k, v in state.items() if not averages[k][2]}
-                for k, (_, a, _) in averages.items():
-                    x = values[k][i]
-                    if x is not None and x == x:
-                        state[k] = (1 - a) * state[k] + a * x if k in state else x
-                    out[k].append(state.get(k))
-            yield batch.assign(**{k: pd.Series(v, index=batch.index, dtype="float64") for k, v in out.items()})
+            if batch.empty:
+                yield batch.assign(**{k: pd.Series(dtype="float64") for k in averages})
+                continue
+            cells = batch["h3_cell"]
+            segments = batch["seg_id"] if "seg_id" in batch else pd.Series(0, index=batch.index)
+            new_cell = (cells != cells.shift()) & ~(cells.isna() & cells.shift().isna())
+            of_cell, of_segment = new_cell.cumsum().to_numpy(), (new_cell | (segments != segments.shift())).cumsum().to_numpy()
+            goes_on = bool(state) and same(cells.iloc[0], cell)
+            out = {}
+            for k, (c, a, restarts) in averages.items():
+                x, groups = batch[c].to_numpy("float64", na_value=np.nan), of_segment if restarts else of_cell
+                carried = goes_on and not (restarts and segments.iloc[0] != segment)
+                if carried:  # the average so far stands before the group that goes on
+                    x, groups = np.concatenate([[state[k]], x]), np.concatenate([groups[:1], groups])
+                y = pd.Series(x).groupby(groups).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()
+                out[k] = y[1:] if carried else y
+            cell, segment, state = cells.iloc[-1], segments.iloc[-1], {k: v[-1] for k, v in out.items()}
+            yield batch.assign(**out)
 
     return (df if dealt else df.repartition("h3_cell")).sortWithinPartitions("h3_cell", "timestamp").mapInPandas(run, schema)
 

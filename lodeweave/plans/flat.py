@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import flatten
 from lodeweave.plans.registry import query
-from lodeweave.plans.roles import RECORDS_SQL, orders_xml, records, rounded, table
+from lodeweave.plans.roles import RECORDS_SQL, orders_records, orders_xml, records, rounded, table
 from lodeweave.sources import generate, xml
+from lodeweave.sources.storage import scratch
 from lodeweave.sources.schemas import FLAT31
 
 _LINES = "lines AS (SELECT *, l_linenumber AS k, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
@@ -33,6 +34,16 @@ def flt01_partial_cartesian(spark, sf_dir):
     return rounded(flatten.partial_cartesian(_parsed(spark, sf_dir), keep=("o_orderkey",)), 2)
 
 
+@query(f"""WITH {RECORDS_SQL}
+SELECT id, name, round(CAST(value AS DOUBLE), 2) AS value, category, tag, CAST(NULL AS VARCHAR) AS meta_created, CAST(NULL AS VARCHAR) AS meta_updated, strftime(l_shipdate, '%Y-%m-%d') AS reading_timestamp, l_linestatus AS reading_sensor, l_quantity AS reading_value
+FROM r JOIN ids USING (o_orderkey) JOIN tags USING (o_orderkey) LEFT JOIN lineitem ON l_orderkey = r.o_orderkey""")
+def src05_flat_of_gzip_files(spark, sf_dir):
+    """A folder of gzipped XML files to flat rows."""
+    folder = f"{scratch(spark, 'xml')}/files"
+    orders_records(spark, sf_dir).select("record.*").write.format("xml").options(rootTag="records", rowTag="record", compression="gzip").save(folder)
+    return rounded(flatten.partial_cartesian(xml.read_xml(spark, folder)), 2)
+
+
 def _null(*skip: str) -> dict[str, str]:
     kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
     return {c: f"CAST(NULL AS {kinds[t]})" for c, t in FLAT31.items() if c not in skip}
@@ -74,9 +85,27 @@ def flt03_cartesian_counts(spark, sf_dir):
     return flatten.cartesian(records(spark, sf_dir), keep=("o_orderkey",)).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_STAT_PRODUCT = """SELECT o_orderkey, CAST(k AS BIGINT) AS stat_mean, l_suppkey AS stat_mode, l_partkey AS stat_range, CASE WHEN k % 2 = 1 THEN l_quantity END AS physics_velocity, CASE WHEN k % 2 = 1 THEN CAST(1 AS DOUBLE) END AS physics_acceleration, CASE WHEN k % 2 = 1 THEN CAST(2 AS DOUBLE) END AS physics_mass,
+CAST(j AS VARCHAR) AS history_previous, CASE WHEN j IS NOT NULL THEN l_linestatus END AS history_trend, CASE WHEN k = 5 THEN l_quantity END AS business_revenue, CASE WHEN k = 5 THEN 'up' END AS business_outlook
+FROM (SELECT * FROM lines WHERE k <= 3 OR k = 5) LEFT JOIN (VALUES (1), (2)) v(j) ON k % 3 <> 0"""
+_CHECKS = {
+    "n_rows": "count(*)", "readings": "sum(reading_value)", "methods": "CAST(sum(method_max) AS BIGINT)", "places": "sum(lat)", "modes": "CAST(sum(stat_mode) AS BIGINT)",
+    "velocities": "sum(physics_velocity)", "revenues": "sum(business_revenue)", "values_x_hashes": "sum(reading_value * method_hash)", "places_x_ranges": "sum(lon * stat_range)",
+    "days_x_tags": "max(reading_timestamp || '/' || tag)", "ids_x_trends": "min(region_id || '/' || history_trend)", "cells_x_types": "max(h3_cell || '/' || measurement_type)", "codes": "count(country_code)",
+}
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT o_orderkey, reading_timestamp, reading_value FROM ({_BRANCHES["r"]})), m AS (SELECT o_orderkey, measurement_type, method_max, method_hash FROM ({_BRANCHES["m"]})),
+l AS (SELECT o_orderkey, lat, lon, h3_cell, country_code, region_id FROM ({_BRANCHES["l"]})), s AS ({_STAT_PRODUCT}), t AS (SELECT o_orderkey, tag FROM ({_BRANCHES["t"]}) UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT o_orderkey, {", ".join(f"{f} AS {k}" for k, f in _CHECKS.items())} FROM t LEFT JOIN r USING (o_orderkey) LEFT JOIN m USING (o_orderkey) LEFT JOIN l USING (o_orderkey) LEFT JOIN s USING (o_orderkey) GROUP BY 1""")
+def flt03_cartesian_values(spark, sf_dir):
+    """The full product of each record: sums, and pairs across its lists, of all rows."""
+    return flatten.cartesian(records(spark, sf_dir), keep=("o_orderkey",)).groupBy("o_orderkey").agg(*[F.expr(f).alias(k) for k, f in _CHECKS.items()])
+
+
 def _rows(spark, sf_dir, of, columns):
     r = records(spark, sf_dir).select("o_orderkey", of.alias("rows")).select("o_orderkey", F.inline("rows"))
-    return r.select("o_orderkey", *columns)
+    return r.select("o_orderkey", *flatten.wide(columns))
 
 
 _STATS = ("stat_mean", "stat_mode", "stat_range", "physics_velocity", "physics_acceleration", "physics_mass", "history_previous", "history_trend", "business_revenue", "business_outlook")
@@ -94,9 +123,7 @@ def flt04_stat_union(spark, sf_dir):
     return _rows(spark, sf_dir, flatten.stat_rows(F.col("statistics")), _STATS)
 
 
-@query(f"""WITH {_LINES} SELECT o_orderkey, CAST(k AS BIGINT) AS stat_mean, l_suppkey AS stat_mode, l_partkey AS stat_range, CASE WHEN k % 2 = 1 THEN l_quantity END AS physics_velocity, CASE WHEN k % 2 = 1 THEN CAST(1 AS DOUBLE) END AS physics_acceleration, CASE WHEN k % 2 = 1 THEN CAST(2 AS DOUBLE) END AS physics_mass,
-CAST(j AS VARCHAR) AS history_previous, CASE WHEN j IS NOT NULL THEN l_linestatus END AS history_trend, CASE WHEN k = 5 THEN l_quantity END AS business_revenue, CASE WHEN k = 5 THEN 'up' END AS business_outlook
-FROM (SELECT * FROM lines WHERE k <= 3 OR k = 5) LEFT JOIN (VALUES (1), (2)) v(j) ON k % 3 <> 0""")
+@query(f"WITH {_LINES} {_STAT_PRODUCT}")
 def flt05_stat_cartesian(spark, sf_dir):
     """Product of a statistic's leaves; one without any gives a row."""
     return _rows(spark, sf_dir, flatten.stat_rows_cartesian(F.col("statistics")), _STATS)
@@ -155,6 +182,14 @@ def src16_nested_generator(spark, sf_dir):
     return flat.groupBy("k").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("SELECT CAST(8400000 AS BIGINT) AS n_rows, CAST(750000 AS BIGINT) AS readings, CAST(1500000 AS BIGINT) AS methods, CAST(750000 AS BIGINT) AS places, CAST(5250000 AS BIGINT) AS leaves, CAST(150000 AS BIGINT) AS tags")
+def api02_load_test(spark, sf_dir):
+    """The load test: the union of 50,000 generated records of 168 rows each."""
+    flat = flatten.union(generate.nested(spark, 50_000))
+    counts = {"n_rows": F.lit(1), "readings": "reading_timestamp", "methods": "method_max", "places": "h3_cell", "leaves": "stat_mean", "tags": "tag"}
+    return flat.agg(*[F.count(c).alias(k) for k, c in counts.items()])
+
+
 @query("SELECT CAST(1000 AS BIGINT) AS records, CAST(1000 AS BIGINT) AS parsed")
 def src15_xml_generator(spark, sf_dir):
     """Generated records written as XML and parsed again."""

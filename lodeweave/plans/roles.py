@@ -86,25 +86,30 @@ islands AS (SELECT *, CAST(sum(new_seg) OVER (PARTITION BY h3_cell ORDER BY time
 seg AS (SELECT *, CAST(row_number() OVER (PARTITION BY h3_cell, seg_id ORDER BY timestamp) - 1 AS INTEGER) AS seg_pos, count(*) OVER (PARTITION BY h3_cell, seg_id) AS seg_len FROM islands)"""
 
 
-def orders_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey and xml: one `<record>` document for each order with its lines as readings."""
+def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and record: one for each order with its lines as readings, in the shape of its XML."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_shipdate", "l_linestatus", "l_quantity", "l_partkey"))).alias("lines"))
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = lambda c: c.cast("string")
     key = F.col("o_orderkey")
     return o.select(
         key,
-        F.to_xml(F.struct(
+        F.struct(
             F.when(key % 7 == 0, F.array(text(key), F.lit("x"), text(key + 1))).when(key % 5 != 0, F.array(text(key))).alias("id"),
             F.array(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))).alias("name"),
             F.array(F.when(key % 11 == 0, F.lit("5d")).otherwise(text(F.col("o_totalprice").cast("decimal(18,2)")))).alias("value"),
             F.array(F.col("o_orderstatus")).alias("category"),
             F.when(key % 3 == 0, F.array(F.struct(F.array(F.lit("t1")).alias("tag")), F.struct(F.array(F.lit("t2")).alias("tag")))).alias("tags"),
             F.when(F.col("lines").isNotNull(), F.array(F.struct(F.transform("lines", lambda r: F.struct(F.array(F.date_format(r["l_shipdate"], "yyyy-MM-dd")).alias("timestamp"), F.array(r["l_linestatus"]).alias("sensor"), F.array(text(r["l_quantity"].cast("decimal(10,1)"))).alias("value"))).alias("reading")))).alias("readings"),
-        ), {"rowTag": "record"}).alias("xml"),
+        ).alias("record"),
     )
 
 
+def orders_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and xml: one `<record>` document for each order."""
+    return orders_records(spark, sf_dir).select("o_orderkey", F.to_xml("record", {"rowTag": "record"}).alias("xml"))
+
+
 RECORDS_SQL = """
 r AS (SELECT o_orderkey, o_orderkey % 7 = 0 AS two, o_orderkey % 5 <> 0 OR o_orderkey % 7 = 0 AS has_id, o_orderpriority AS name, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS value, o_orderstatus AS category, o_orderkey % 3 = 0 AS tagged FROM orders),
 ids AS (SELECT o_orderkey, CAST(CASE WHEN has_id THEN o_orderkey ELSE 0 END AS INTEGER) AS id FROM r UNION ALL SELECT o_orderkey, CAST(o_orderkey + 1 AS INTEGER) FROM r WHERE two),

@@ -9,6 +9,7 @@ from lodeweave.operators import geo, layout
 from lodeweave.plans.registry import query
 from lodeweave.plans.roles import rounded, table
 from lodeweave.sources.schemas import FLAT31, FLAT_DATE31, conform
+from lodeweave.sources.storage import scratch
 
 
 def _keys(spark, sf_dir):
@@ -42,6 +43,29 @@ def snk06_file_paths(spark, sf_dir):
     return _keys(spark, sf_dir).groupBy(layout.partition_path(layout.FILE_KEYS).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query(f"{_KEYS} SELECT 'id=' || coalesce(CAST(id AS VARCHAR), 'unknown') || '/name=' || coalesce(name, 'unknown') || '/category=' || coalesce(category, 'unknown') AS folder, CAST(count(DISTINCT value) + max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(value) AS BIGINT) AS total FROM k GROUP BY 1")
+def snk05_06_key_files(spark, sf_dir):
+    """Files by key, written and read again by their folders."""
+    base = f"{scratch(spark, 'keys')}/files"
+    listed = layout.write_key_files(_keys(spark, sf_dir), base, layout.FILE_KEYS)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "value=*.parquet").parquet(base)
+    held = rows.withColumn("folder", F.regexp_extract(F.input_file_name(), "(id=.*)/value=", 1))
+    totals = held.groupBy(F.url_decode("folder").alias("folder")).agg(F.sum("value").alias("total"))
+    counts = listed.groupBy(F.regexp_extract("path", "^(.*)/value=", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("rows").alias("n_rows"))
+    return counts.join(totals, "folder").select("folder", "n_files", "n_rows", "total")
+
+
+@query("SELECT o_orderstatus AS category, count(*) AS n_rows FROM orders GROUP BY 1")
+def snk13_log_of_existing_files(spark, sf_dir):
+    """A table log's Add actions over files in folders by key: each folder's rows, counted through the log."""
+    base = f"{scratch(spark, 'table')}/files"
+    layout.write_partitioned(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("category")), base, {"category": "unknown"})
+    adds = layout.create_log(spark, base, ("category",))
+    paths = [r["path"] for r in adds.select("path").collect()]  # of a few folders
+    rows = spark.read.option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
+    return rows.join(adds.select("partitionValues.category").distinct(), "category").groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _flat_sql(flat: dict[str, str]) -> str:
     kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
     own = {"id": "CAST(o_orderkey AS INTEGER)", "name": "o_orderpriority", "value": "o_totalprice", "category": "o_orderstatus"}

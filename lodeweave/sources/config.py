@@ -55,6 +55,13 @@ class ObjectStore:
         }
         return {f"spark.hadoop.{k}": v for k, v in out.items()}
 
+    def tls(self) -> dict[str, str]:
+        """Java options by which driver and executors trust the certificates of ca_bundle, a PEM file on each of them."""
+        if not self.ca_bundle:
+            return {}
+        trust = f"-Djavax.net.ssl.trustStore={self.ca_bundle} -Djavax.net.ssl.trustStoreType=PEM"
+        return {"spark.driver.extraJavaOptions": trust, "spark.executor.extraJavaOptions": trust}
+
     def write(self, df: DataFrame, path: str, mode: str = "overwrite") -> None:
         """Parquet to the bucket; executors upload their own parts."""
         for k, v in self.hadoop().items():

@@ -7,6 +7,8 @@ a reading the last (that parses) wins. Records and readings with nothing in them
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,13 @@ def read_xml(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE
 
 def parse_xml(df: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
     """Records of a column with one `<record>` document a row; other columns stay."""
-    parsed = df.withColumn("_r", F.from_xml(F.col(column), RECORD_XML, {"rowTag": "record"}))
-    return normalised(parsed.select(*[c for c in df.columns if c != column], "_r.*"), keep_empty)
+    parsed = F.from_xml(F.col(column), RECORD_XML, {"rowTag": "record"})
+    return normalised(df.select(*[c for c in df.columns if c != column], _once(parsed)), keep_empty)
+
+
+def _once(struct: Column) -> Column:
+    """The fields of a struct as columns. A generator stands between it and what uses them, so that it is computed once a row."""
+    return F.inline(F.array(struct))
 
 
 def _texts(array: Column) -> Column:
@@ -70,8 +77,10 @@ def normalised(raw: DataFrame, keep_empty: bool = False) -> DataFrame:
         "readings": readings,
     }
     rest = [c for c in raw.columns if c not in own and c != "meta"]
-    out = raw.select(*rest, *[_or_null(v).alias(k) for k, v in own.items()])
-    return out if keep_empty else out.where(F.coalesce(*[F.when(F.col(k).isNotNull(), True) for k in own], F.lit(False)))
+    record = F.array(F.struct(*[_or_null(v).alias(k) for k, v in own.items()]))
+    if not keep_empty:
+        record = F.filter(record, lambda r: reduce(Column.__or__, [r[k].isNotNull() for k in own]))
+    return raw.select(*rest, F.inline(record))
 
 
 def record_xml(df: DataFrame, into: str = "xml") -> DataFrame:

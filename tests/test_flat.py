@@ -229,3 +229,57 @@ def test_sources_do_not_need_the_text_part():
 
     code = "import sys; sys.modules['lodeweave.llm'] = None; import lodeweave.plans.registry as r; assert len(r.QUERIES) > 60"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_a_record_is_parsed_once(spark):
+    frame = spark.createDataFrame([("<record><id>1</id></record>",)], "x string")
+    plan = flatten.partial_cartesian(xml.parse_xml(frame, "x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+
+
+def test_key_files_and_log(spark, tmp_path):
+    rows = [(1, "a b", None, 5), (1, "a b", None, 5), (2, None, "c", None)]
+    df = spark.createDataFrame(rows, "id int, name string, category string, value int")
+    listed = {r.path: r.rows for r in layout.write_key_files(df, str(tmp_path / "k"), layout.FILE_KEYS).collect()}
+    assert listed == {"id=1/name=a b/category=unknown/value=5.parquet": 2, "id=2/name=unknown/category=c/value=unknown.parquet": 1}
+    import pyarrow.parquet as pq
+
+    held = pq.ParquetFile(tmp_path / "k" / "id=1/name=a b/category=unknown/value=5.parquet")
+    assert held.metadata.num_rows == 2 and held.metadata.row_group(0).column(0).statistics is not None and held.metadata.row_group(0).column(0).compression == "SNAPPY"
+    layout.write_partitioned(df, str(tmp_path / "t"), {"category": "unknown"})
+    adds = layout.create_log(spark, str(tmp_path / "t"), ("category",), "made").collect()
+    lines = [json.loads(x) for x in (tmp_path / "t/_delta_log/00000000000000000000.json").read_text().splitlines()]
+    assert [next(iter(x)) for x in lines] == ["protocol", "metaData"] + ["add"] * len(adds)
+    assert lines[1]["metaData"]["partitionColumns"] == ["category"]
+    assert all((tmp_path / "t" / a.path).stat().st_size == a.size and a.partitionValues["category"] in a.path and a.dataChange is False for a in adds)
+    with pytest.raises(FileExistsError):
+        layout.create_log(spark, str(tmp_path / "t"))
+
+
+def test_run_over_all_folders(spark, tmp_path):
+    from lodeweave.plans import etl
+
+    for k in range(2):
+        (tmp_path / f"day{k}").mkdir()
+        with gzip.open(tmp_path / f"day{k}" / "x.xml.gz", "wt") as f:
+            f.write(f"<records><record><id>{k}</id><category>c{k}</category></record></records>")
+    (tmp_path / "c.toml").write_text(f'data_dirs = ["{tmp_path}/day0", "{tmp_path}/day1"]')
+    adds = etl.run(spark, config.load_config(str(tmp_path / "c.toml")), str(tmp_path / "out")).collect()
+    assert {a.partitionValues["category"] for a in adds} == {"c0", "c1"}
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1]
+
+
+def test_schema_of_a_sample(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "s"))
+    assert tables.schema_of(spark, str(tmp_path / "s")).simpleString() == "struct<id:bigint>"
+
+
+def test_quantiles_and_ranking_of_crowded_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.exp(-rng.exponential(8, 3000)), np.zeros(1500), [1e9]])
+    frame = spark.createDataFrame([(float(v), int(v > 0.1)) for v in x], "x double, y int")
+    r = metrics.quantiles(frame, ["x"], bins=16).first()
+    assert np.allclose([r["min"], r.p01, r.p50, r.p99, r["max"]], [x.min(), *np.quantile(x, [0.01, 0.5, 0.99]), x.max()], rtol=1e-12)
+    assert metrics.ranking(frame, "x", "y", bins=16).first().roc_auc == 1.0

@@ -92,3 +92,37 @@ def test_features_on_both_grids_agree_where_both_have_rows(spark):
     a = {r.timestamp: r.a__sum_1h for r in features.build(obs, windows={"1h": 1}).collect()}
     b = {r.timestamp: r.a__sum_1h for r in features.build(obs, grid="per_cell", windows={"1h": 1}).collect()}
     assert set(a) < set(b) and all(b[t] == v for t, v in a.items())
+
+
+def test_averages_run_on_over_batches(spark):
+    import random
+
+    rng, rows, want = random.Random(2), [], {}
+    for cell in ("a", "b", None):
+        y, seg = {}, 0
+        for h in range(60):
+            if rng.random() < 0.1:
+                seg += 1
+            x = None if rng.random() < 0.2 else rng.random()
+            rows.append((cell, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), seg, x))
+            for name, a, key in (("long", 0.02, None), ("short", 0.3, seg)):
+                if (name, key) not in y and name == "short":
+                    y = {k: v for k, v in y.items() if k[0] == "long"}
+                if x is not None:
+                    y[name, key] = (1 - a) * y[name, key] + a * x if (name, key) in y else x
+                want.setdefault((cell, h), []).append(y.get((name, key)))
+    frame = spark.createDataFrame(rows, "h3_cell string, timestamp timestamp_ntz, seg_id int, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r.h3_cell, (r.timestamp - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1)): [r.long, r.short] for r in opscore.ewma(frame, {"long": ("x", 0.02, False), "short": ("x", 0.3, True)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    for k, pair in want.items():
+        assert all((a is None or a != a) and b is None if b is None else abs(a - b) < 1e-9 for a, b in zip(got[k], pair)), (k, got[k], pair)
+
+
+def test_a_stray_timestamp_is_an_error(spark):
+    frame = spark.createDataFrame([(at(0),), (dt.datetime(9999, 1, 1),)], "timestamp timestamp_ntz")
+    with pytest.raises(Exception, match="grid would span"):
+        features.hourly_grid(frame).collect()
