@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_kept_until_exit: set[str] = set()
+from lodeweave.sources.storage import remove, remove_at_exit, shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master, as in
-    tests, gets a temporary one; on a cluster it must be set, as a folder of one machine would lose rows."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not re.match(r"local($|\[)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodeweave-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def _located(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the shared store, if it is there."""
-    system, path = _located(spark, folder)
-    system.delete(path, True)
-
-
-def remove_at_exit(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the shared store when the driver's JVM ends; lazy frames may read it until then."""
-    if folder not in _kept_until_exit:
-        _kept_until_exit.add(folder)
-        system, path = _located(spark, folder)
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to a table in the shared folder and read again: lineage ends here, and later plans know the size.
 

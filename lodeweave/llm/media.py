@@ -25,7 +25,6 @@ empty; an empty table makes no archive and gives no rows; further columns are no
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 import zipfile
@@ -35,13 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodeweave.llm.common import cut, remove, shared_root, text_bytes
+from lodeweave.llm.common import cut, text_bytes
+from lodeweave.sources.storage import open_store, remove, shared_root
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -106,17 +105,12 @@ def feature(payload: bytes) -> str:
     return f"{len(x)}x{SIDE};mean={total / n:.4f};var={squares / n - (total / n) ** 2:.3f};ahash={np.packbits(bits.ravel()).tobytes().hex()}"
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    uri = uri.replace("s3a://", "s3://", 1)
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> None:
     """Store every document as a member of archives of about archive_bytes, and the list of finished ones in MANIFEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        system, path = _open(folder)
+        system, path = open_store(folder)
         system.create_dir(path, recursive=True)
         names, sizes = [], []
         out = sink = None
@@ -172,7 +166,7 @@ class ArchiveReader(DataSourceReader):
         self.keep_going = options.get("onerror", "fail") == "row"
 
     def partitions(self):
-        system, folder = _open(self.folder)
+        system, folder = open_store(self.folder)
         listed = pq.read_table(f"{folder}/{MANIFEST}", filesystem=system)
         names, sizes = listed.column("name").to_pylist(), listed.column("size").to_pylist()
         step = self.range_bytes or max(RANGE_BYTES, sum(sizes) // MOST_RANGES)
@@ -219,7 +213,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition):
         if not partition.name:
             return
-        system, folder = _open(self.folder)
+        system, folder = open_store(self.folder)
         path = f"{folder}/{partition.name}"
         ids, members = {}, []
         for m in self.directory(system, path):

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from lodeweave.llm import media
-from lodeweave.llm.common import shared_root
+from lodeweave.sources.storage import shared_root
 from tests.conftest import DATA
 
 

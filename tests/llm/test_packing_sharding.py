@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -15,21 +16,34 @@ def test_best_fit(sizes):
     sizes = sorted(sizes, reverse=True)
     lengths = (16, 32, 64)
     bins, offsets, capacity = packing.best_fit(sizes, lengths)
-    room, content = {}, defaultdict(int)
-    for i, (s, b, at) in enumerate(zip(sizes, bins, offsets)):
-        fits = {k: r for k, r in room.items() if r >= s}
-        if fits:
-            assert b in fits and fits[b] == min(fits.values())
-        else:
-            left = sum(sizes[i:])
-            room[b] = min((c for c in lengths if c >= s), key=lambda c: (packing.cost(c) / min(c, left), c))
+    content = defaultdict(int)
+    for s, b, at in zip(sizes, bins, offsets):
         assert at == content[b]
         content[b] += s
-        room[b] -= s
     assert sorted(content) == list(range(len(capacity)))
     assert all(capacity[b] == min(c for c in lengths if c >= n) for b, n in content.items())
 
 
+def groupings(n, groups=()):
+    if not n:
+        yield groups
+        return
+    for k in range(len(groups)):
+        yield from groupings(n - 1, (*groups[:k], (*groups[k], n - 1), *groups[k + 1 :]))
+    yield from groupings(n - 1, (*groups, (n - 1,)))
+
+
+@pytest.mark.parametrize(("lengths", "most"), [(packing.LENGTHS, 4096), (packing.LENGTHS, 1500), ((16, 32, 64), 64)])
+def test_cost_against_every_grouping(lengths, most):
+    rng, ratios = random.Random(most), []
+    for _ in range(8):
+        sizes = sorted((rng.randint(1, most) for _ in range(9)), reverse=True)
+        filled = ([sum(sizes[i] for i in g) for g in gs] for gs in groupings(9))
+        least = min(sum(packing.cost(min(c for c in lengths if c >= n)) for n in f) for f in filled if max(f) <= lengths[-1])
+        ratios.append(sum(map(packing.cost, packing.best_fit(sizes, lengths)[2])) / least)
+    assert sum(ratios) / len(ratios) <= 1.02 and max(ratios) < 1.2
+
+
 def test_packing_places_every_token_once(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = packing.pack(docs, (128, 256, 1024), cell_tokens=50_000).collect()
@@ -103,3 +117,27 @@ def test_written_shards_and_their_boxes(spark, tmp_path):
     assert back.count() == docs.count() == sum(b.rows for b in boxes)
     ordered = sorted(boxes, key=lambda b: b.shard)
     assert all(a.max_curve <= b.min_curve for a, b in zip(ordered, ordered[1:]))
+
+
+def test_ranks_of_values_are_even_and_in_order(spark):
+    rows = [(None,)] * 3 + [("b",)] * 40 + [(f"v{i:03d}",) for i in range(60)]
+    frame = spark.createDataFrame(rows, "x string")
+    got = {r.x: r.q for r in sharding.ranked(frame, {"q": "x"}, 4).collect()}
+    assert got[None] == 0
+    values = sorted(x for x in got if x is not None)
+    assert [got[x] for x in values] == sorted(got[x] for x in values) and max(got.values()) == 15
+    assert got["v000"] - got["b"] >= 2
+
+
+def test_predicates_skip_most_shards(spark):
+    """Shares of shards whose minima and maxima rule a value out, over all values, weighted by nothing."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    placed = sharding.cut(docs.join(sharding.document_shards(docs, n_shards=64).select("doc_id", "shard"), "doc_id").select("shard", "source", "lang", F.octet_length("text").alias("size")))
+    boxes = placed.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("min", F.min), ("max", F.max))]).collect()
+    skipped = {}
+    for c in ("source", "lang"):
+        values = [r[0] for r in placed.select(c).distinct().collect() if r[0] is not None]
+        skipped[c] = sum(not b[f"min_{c}"] <= v <= b[f"max_{c}"] for v in values for b in boxes) / len(values) / len(boxes)
+    sizes = [r[0] for r in placed.select(F.percentile("size", F.array(*[F.lit(k / 20) for k in range(1, 20)]))).collect()][0]
+    skipped["size"] = sum(not b.min_size <= v <= b.max_size for v in sizes for b in boxes) / len(sizes) / len(boxes)
+    assert skipped["source"] > 0.6 and skipped["lang"] > 0.5 and skipped["size"] > 0.5, skipped
