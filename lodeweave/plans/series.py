@@ -226,4 +226,5 @@ def ml03_04_boosted_trees(spark, sf_dir):
     l = labels.exclusive(labels.build(_hourly(spark, sf_dir), ("future",), {"6h": 6})).select("timestamp", "h3_res3", "label_exclusive_6h")  # noqa: E741
     data = ml.dataset(f.join(l, ["timestamp", "h3_res3"]), splits=splits).cache()
     model = ml.train(data, {"max_depth": 3, "max_bin": 32}, rounds=3)
+    data.unpersist()
     return ml.predict(model, data.where("split = 'test'")).select("label", "prediction")
