@@ -102,32 +102,30 @@ def _counts(total: Counter) -> pa.RecordBatch:
 
 
 def anchors(wins: DataFrame, freq: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Of the windows that can occur: words, items, order (offsets from the rarest term on) and needed (terms); and each one's
-    anchors: words, needed, term, others (the terms of which one must be near; '': none must)."""
+    """Of the windows that can occur: window (a number), words, items, order (offsets from the rarest term on) and needed (terms);
+    and each one's anchors: window, needed, term, others (the terms of which one must be near; '': none must)."""
     each = wins.select("words", "items", F.posexplode("words").alias("offset", "term")).join(freq, "term", "left")
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("ordered")
     held = each.groupBy("words").agg(ordered, F.first("items").alias("items")).withColumn("needed", F.ceil(F.size("words") * share).cast("int"))
     held = held.withColumn("present", F.expr("filter(ordered, x -> x.n > 0)")).where("size(present) >= needed")
-    held = cut(held.select("words", "items", "needed", F.expr("transform(ordered, x -> x.offset)").alias("order"), F.expr("slice(present, 1, size(present) - needed + 2)").alias("rare")))
+    held = cut(held.select(F.monotonically_increasing_id().alias("window"), "words", "items", "needed", F.expr("transform(ordered, x -> x.offset)").alias("order"), F.expr("slice(present, 1, size(present) - needed + 2)").alias("rare")))
+    one = held.select("window", "needed", "rare", F.inline("rare"))
     others = F.when(F.col("needed") < 2, F.array(F.lit(""))).otherwise(F.expr("transform(filter(rare, x -> x.offset != offset), x -> x.term)"))
-    one = held.select("words", "needed", "rare", F.inline("rare")).select("words", "needed", "term", others.alias("others"))
-    return held.drop("rare"), one
+    return held.drop("rare"), one.select("window", "needed", "term", others.alias("others"))
 
 
 def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """doc_id, key, n_words and postings: term, position, and whether it is an anchor, within reach of anchors that are near each other."""
+    """doc_id, key, n_words and postings: term, position, and whether it is an anchor, within reach of two anchors of a window that are near each other."""
     paired = anchored.select("term", F.explode("others").alias("other")).select(F.concat_ws(" ", "term", "other").alias("term"))
     held = docs.sparkSession.sparkContext.broadcast((sieve(terms), sieve(anchored), sieve(paired)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    posting = pa.struct([("term", pa.string()), ("at", pa.int32()), ("anchor", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tested, sieved, pairs = held.value
         known: dict[bytes, int] = {}
 
-        def meeting(w: list[bytes]) -> Iterator[int]:
+        def meeting(w: list[bytes], at: list[int]) -> Iterator[int]:
             """Places of anchors with another of the same window in reach (which may be the same place)."""
-            at = [i for i, x in enumerate(w) if known[x] > 1]
             lo = hi = 0
             for i in at:
                 while at[lo] < i - reach:
@@ -138,17 +136,8 @@ def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) ->
                 if pairs[crc32(own) % SIEVE_BITS] or any(pairs[crc32(own + w[j]) % SIEVE_BITS] for j in at[lo:hi]):
                     yield i
 
-        def postings(w: list[bytes]) -> list[dict]:
-            out, done = [], 0
-            for i in meeting(w):
-                for j in range(max(done, i - reach), min(len(w), i + reach + 1)):
-                    if known[w[j]]:
-                        out.append({"term": w[j].decode(), "at": j, "anchor": known[w[j]] > 1})
-                done = max(done, min(len(w), i + reach + 1))
-            return out
-
         for batch in batches:
-            sizes, lists = [], []
+            sizes, ends, held_terms, places, flags = [], [0], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 w = words(text.as_py())
                 if len(known) > 500_000:
@@ -157,19 +146,43 @@ def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) ->
                     if x not in known:
                         place = crc32(x) % SIEVE_BITS
                         known[x] = 2 if sieved[place] else tested[place]
+                done = 0
+                for i in meeting(w, [i for i, x in enumerate(w) if known[x] > 1]):
+                    for j in range(max(done, i - reach), min(len(w), i + reach + 1)):
+                        if k := known[w[j]]:
+                            held_terms.append(w[j])
+                            places.append(j)
+                            flags.append(k > 1)
+                    done = max(done, min(len(w), i + reach + 1))
                 sizes.append(len(w))
-                lists.append(postings(w))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "key", "n_words", "postings"])
+                ends.append(len(places))
+            postings = pa.StructArray.from_arrays([pa.array(held_terms, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), pa.array(flags, pa.bool_())], ["term", "at", "anchor"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings)], ["doc_id", "key", "n_words", "postings"])
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), text_bytes(F.col("text")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, key binary, n_words long, postings array<struct<term:string,at:int,anchor:boolean>>")
 
 
+def _close(starts: list[tuple[int, int]], most: int) -> bool:
+    """Whether two of the sorted (start, offset) of different offsets are at most so far apart."""
+    last: dict[int, int] = {}
+    for s, i in starts:
+        if any(j != i and s - t <= most for j, t in last.items()):
+            return True
+        last[i] = s
+    return False
+
+
 def intersect(lists: dict[str, set[int]], window: list[str], order: list[int], needed: int, slop: int) -> tuple[list[int], list[tuple[int, int]]]:
     """Starts of exact phrases, and (start, terms found) of proximity matches, of one window in one document.
 
     lists: positions of each term. order: the window's offsets, from the rarest term on.
     """
+    spare_terms = len(window) - needed
+    if needed > 1:  # of the rarest spare_terms + 2 terms a match has two, within `slop` of their places
+        starts = sorted((p - i, i) for i in order[: spare_terms + 2] for p in lists.get(window[i], ()))
+        if not _close(starts, 2 * slop):
+            return [], []
     first = order[0]
     exact = {p - first for p in lists.get(window[first], ())}
     for i in order[1:]:
@@ -177,7 +190,7 @@ def intersect(lists: dict[str, set[int]], window: list[str], order: list[int], n
             break
         here = lists.get(window[i], ())
         exact = {s for s in exact if s + i in here}
-    spare_terms, found = len(window) - needed, {}
+    found: dict[int, int] = {}
     for k, i in enumerate(order):
         here = lists.get(window[i], ())
         if k <= spare_terms:  # a start that has none of the first spare_terms + 1 terms has missed too many
@@ -196,8 +209,8 @@ def matches(indexed: DataFrame, wins: DataFrame, anchored: DataFrame, slop: int
     """key, start, length, items, exact, found (terms in or near their places): exact phrases and proximity matches."""
     held = cut(indexed.where("size(postings) > 0").groupBy("key").agg(F.first("postings").alias("postings")))  # of equal texts, so equal
     terms = held.select("key", F.explode(F.expr("array_distinct(transform(filter(postings, x -> x.anchor), x -> x.term))")).alias("term"))
-    pairs = terms.join(anchored.drop("others"), "term").groupBy("key", "words").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where(F.col("n") >= F.least(F.lit(2), "needed"))
-    asked = pairs.select("key", "words").join(wins, "words").select("key", "words", "items", "needed", "order")
+    pairs = terms.join(anchored.drop("others"), "term").groupBy("key", "window").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where(F.col("n") >= F.least(F.lit(2), "needed"))
+    asked = pairs.select("key", "window").join(wins, "window").select("key", "words", "items", "needed", "order")
     none = F.lit(None)
     lists = held.select("key", none.cast("array<string>").alias("words"), none.cast("array<string>").alias("items"), none.cast("int").alias("needed"), none.cast("array<int>").alias("order"), "postings")
     rows = lists.unionByName(asked.withColumn("postings", none.cast(held.schema["postings"].dataType)))
