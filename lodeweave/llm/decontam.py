@@ -13,8 +13,8 @@ benchmark item gives its windows of `width` consecutive words; an item of fewer
 4. Documents and windows meet on the anchors; pairs with two anchors of the window in the document stay.
    Then the window's posting lists in that document, each adjusted by its term's offset, are intersected
    from the rarest term to the commonest. A start at which all lists meet is an exact phrase; one at which
-   lists of at least `share` of the terms have a position within `slop` is a proximity match; a start goes
-   as soon as it has missed too many terms.
+   lists of at least `share` of the terms have a position within `slop` is a proximity match, but for starts
+   within `slop` of an exact phrase's; a start goes as soon as it has missed too many terms.
 
 Both passes over the corpus drop words through a sieve, a bitmap of SIEVE_BITS bits of the terms'
 hashes. Its size is the same for any benchmark and so may be broadcast; the later joins on the terms
@@ -190,13 +190,16 @@ def intersect(lists: dict[str, set[int]], window: list[str], order: list[int], n
             break
         here = lists.get(window[i], ())
         exact = {s for s in exact if s + i in here}
-    found: dict[int, int] = {}
+    skip, found = {s + d for s in exact for d in range(-slop, slop + 1)}, {}
     for k, i in enumerate(order):
+        if k > spare_terms and not found:
+            break
         here = lists.get(window[i], ())
         if k <= spare_terms:  # a start that has none of the first spare_terms + 1 terms has missed too many
             for p in here:
                 for s in range(p - i - slop, p - i + slop + 1):
-                    found.setdefault(s, 0)
+                    if s not in skip:
+                        found.setdefault(s, 0)
         for s in list(found):
             if any(p in here for p in range(s + i - slop, s + i + slop + 1)):
                 found[s] += 1
@@ -231,7 +234,7 @@ def matches(indexed: DataFrame, wins: DataFrame, anchored: DataFrame, slop: int
                 exact, near = intersect(lists, window, order.as_py(), needed.as_py(), slop)
                 if exact or near:
                     key, items, n = key.as_py(), items.as_py(), len(window)
-                    out += [(key, s, n, items, True, n) for s in exact] + [(key, s, n, items, False, k) for s, k in near if s not in {*exact}]
+                    out += [(key, s, n, items, True, n) for s in exact] + [(key, s, n, items, False, k) for s, k in near]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "length", "items", "exact", "found"])
 
