@@ -237,7 +237,7 @@ def _gray_rank(c: str):
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+def rooted(marked: DataFrame, distance: int) -> DataFrame:
     """fp and root, the fingerprint that names its component."""
     distinct = cut(marked.select("fp").distinct())
     roots = components(link_fingerprints(distinct, distance)).withColumnRenamed("node", "fp")
@@ -247,10 +247,10 @@ def _rooted(marked: DataFrame, distance: int) -> DataFrame:
 def near_components(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id of the linked documents)."""
     marked = cut(fingerprints(docs.select("doc_id", "text"), width))
-    rooted = _rooted(marked, distance)
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(rooted, "fp")
+    by_root = rooted(marked, distance)
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(by_root, "fp")
     least = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    by_fp = by_root.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -276,4 +276,4 @@ def first_of_each(docs: DataFrame, marked: DataFrame, rooted: DataFrame) -> Data
 def one_of_each(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """One document of each component, with the columns of docs."""
     marked = cut(fingerprints(docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text"), width))
-    return first_of_each(docs, marked.withColumnRenamed("fp", "node"), _rooted(marked, distance).withColumnRenamed("fp", "node"))
+    return first_of_each(docs, marked.withColumnRenamed("fp", "node"), rooted(marked, distance).withColumnRenamed("fp", "node"))

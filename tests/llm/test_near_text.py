@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
+from lodeweave.llm import near_text, simhash
 from tests.conftest import DATA
 
 
@@ -49,3 +52,46 @@ def test_large_groups_of_edited_copies(spark):
     want = plain_kept(rows)
     assert 4 < len(want) < 150
     assert kept_by_stage(spark, spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def edited_copies(n, words, edits, seed):
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(3000)}" for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(3000)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_fingerprints_go_through_the_index(spark, monkeypatch):
+    rows, linked = edited_copies(40, 400, 3, 5), []
+    index = simhash.link_fingerprints
+
+    def kept_links(fps, *args, **kwargs):
+        linked.append(index(fps, *args, **kwargs))
+        return linked[-1]
+
+    monkeypatch.setattr(simhash, "link_fingerprints", kept_links)
+    assert kept_by_stage(spark, spark.createDataFrame(rows, "doc_id long, text string")) == plain_kept(rows) == [0]
+    assert linked[0].count() > 0
+
+
+def test_clusters_of_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "CHUNK", 8)
+    rows = edited_copies(90, 60, 7, 6)
+    want = plain_kept(rows)
+    assert 1 < len(want) < 80
+    assert kept_by_stage(spark, spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_similar_sets_against_all_pairs():
+    rng = random.Random(7)
+    sets = [np.unique(np.array([rng.randrange(14) for _ in range(rng.randrange(1, 14))], np.uint32)) for _ in range(60)]
+    near = lambda x, y: 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})
+    label = list(range(60))
+    for _ in sets:
+        for i in range(60):
+            label[i] = min(label[j] for j in range(60) if near(sets[i].tolist(), sets[j].tolist()))
+    assert near_text.similar(sets).tolist() == label and len({*label}) > 3
