@@ -122,9 +122,23 @@ def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tested, sieved, pairs = held.value
-        known: dict[bytes, int] = {}
 
-        def meeting(w: list[bytes], at: list[int]) -> Iterator[int]:
+        class Known(dict):
+            """3: an anchor that needs no other, 2: an anchor, 1: a test term, 0: neither."""
+
+            def __missing__(self, x: bytes) -> int:
+                place = crc32(x) % SIEVE_BITS
+                self[x] = found = (2 + pairs[crc32(x + b" ") % SIEVE_BITS]) if sieved[place] else tested[place]
+                return found
+
+        class Paired(dict):
+            def __missing__(self, two: tuple[bytes, bytes]) -> int:
+                self[two] = found = pairs[crc32(b"%b %b" % two) % SIEVE_BITS]
+                return found
+
+        known, paired = Known(), Paired()
+
+        def meeting(w: list[bytes], at: list[int], marks: bytes) -> Iterator[int]:
             """Places of anchors with another of the same window in reach (which may be the same place)."""
             lo = hi = 0
             for i in at:
@@ -132,9 +146,14 @@ def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) ->
                     lo += 1
                 while hi < len(at) and at[hi] <= i + reach:
                     hi += 1
-                own = w[i] + b" "
-                if pairs[crc32(own) % SIEVE_BITS] or any(pairs[crc32(own + w[j]) % SIEVE_BITS] for j in at[lo:hi]):
+                if marks[i] > 2:
                     yield i
+                    continue
+                own = w[i]
+                for j in at[lo:hi]:
+                    if paired[own, w[j]]:
+                        yield i
+                        break
 
         for batch in batches:
             sizes, ends, held_terms, places, flags = [], [0], [], [], []
@@ -142,14 +161,13 @@ def index(docs: DataFrame, anchored: DataFrame, terms: DataFrame, reach: int) ->
                 w = words(text.as_py())
                 if len(known) > 500_000:
                     known.clear()
-                for x in {*w}:
-                    if x not in known:
-                        place = crc32(x) % SIEVE_BITS
-                        known[x] = 2 if sieved[place] else tested[place]
+                if len(paired) > 500_000:
+                    paired.clear()
+                marks = bytes(map(known.__getitem__, w))
                 done = 0
-                for i in meeting(w, [i for i, x in enumerate(w) if known[x] > 1]):
+                for i in meeting(w, np.flatnonzero(np.frombuffer(marks, np.uint8) > 1).tolist(), marks):
                     for j in range(max(done, i - reach), min(len(w), i + reach + 1)):
-                        if k := known[w[j]]:
+                        if k := marks[j]:
                             held_terms.append(w[j])
                             places.append(j)
                             flags.append(k > 1)
@@ -224,17 +242,19 @@ def matches(indexed: DataFrame, wins: DataFrame, anchored: DataFrame, slop: int
         lists: dict[str, set[int]] = {}
         for batch in batches:
             out = []
-            for key, window, items, needed, order, postings in zip(*batch.columns, strict=True):
+            rows, ends = batch.column(5), batch.column(5).offsets.to_pylist()
+            held_terms, places = (rows.values.field(k).to_pylist() for k in (0, 1))
+            for n, (key, window, items, needed, order) in enumerate(zip(*batch.columns[:5], strict=True)):
                 if not window.is_valid:
                     lists = {}
-                    for p in postings.as_py():
-                        lists.setdefault(p["term"], set()).add(p["at"])
+                    for term, at in zip(held_terms[ends[n] : ends[n + 1]], places[ends[n] : ends[n + 1]], strict=True):
+                        lists.setdefault(term, set()).add(at)
                     continue
                 window = window.as_py()
                 exact, near = intersect(lists, window, order.as_py(), needed.as_py(), slop)
                 if exact or near:
-                    key, items, n = key.as_py(), items.as_py(), len(window)
-                    out += [(key, s, n, items, True, n) for s in exact] + [(key, s, n, items, False, k) for s, k in near]
+                    key, items, size = key.as_py(), items.as_py(), len(window)
+                    out += [(key, s, size, items, True, size) for s in exact] + [(key, s, size, items, False, k) for s, k in near]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "length", "items", "exact", "found"])
 
