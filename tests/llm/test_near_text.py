@@ -95,3 +95,25 @@ def test_similar_sets_against_all_pairs():
         for i in range(60):
             label[i] = min(label[j] for j in range(60) if near(sets[i].tolist(), sets[j].tolist()))
     assert near_text.similar(sets).tolist() == label and len({*label}) > 3
+
+
+def dealt_parts(spark, clusters):
+    rows = near_text.deals(spark.createDataFrame([(c, i) for c, own in clusters.items() for i in own], "cluster long, node long")).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.part, set()).add(r.node)
+    assert len(rows) == sum(map(len, parts.values()))
+    for own in clusters.values():  # no pair is lost
+        assert all(any({i, j} <= held for held in parts.values()) for i in own for j in own)
+    return len(rows)
+
+
+def test_overlapping_clusters_take_each_set_once(spark):
+    assert dealt_parts(spark, {c: range(c, c + 10) for c in range(30)} | {99: [70, 71]}) == 41  # and not 302
+
+
+def test_large_groups_are_dealt_by_what_takes_fewer_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "CHUNK", 8)
+    assert dealt_parts(spark, {c: range(2 * c, 2 * c + 3) for c in range(40)}) == 120  # a chain: by its clusters
+    assert dealt_parts(spark, {c: [*range(20), 20 + c] for c in range(30)}) < 30 * 21 * 2  # near copies: by their group
+    assert dealt_parts(spark, {1: range(50), 2: [60, 61]}) == 50 * 6 + 2
