@@ -97,6 +97,26 @@ def test_similar_sets_against_all_pairs():
     assert near_text.similar(sets).tolist() == label and len({*label}) > 3
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for words in (1, 32):
+        for _ in range(200):
+            x, y = (np.unique(rng.integers(0, 1 << 63, rng.integers(0, 300))) for _ in range(2))
+            y = np.union1d(y[: rng.integers(0, 40)], x)
+            apart = int(np.bitwise_count(near_text.parities(x, words) ^ near_text.parities(y, words)).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+
+
+def test_short_texts_with_one_shingle_in_common_are_no_cluster(spark):
+    rows = [(i, " ".join([*(f"s{i // 2}x{k}" for k in range(5)), *(f"w{i}x{k}" for k in range(20))])) for i in range(600)]
+    rows += [(600 + i, " ".join([f"v{k}" for k in range(40)] + [f"u{i}"])) for i in range(2)]
+    marked = near_text.described(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    found = near_text.clusters_by_shingles(marked, marked.select("node", "n", "fp", "fp2", "odd"))
+    near = {r.doc_id for r in found.join(marked, "node").select("doc_id").collect()}
+    marked.unpersist()
+    assert near == {600, 601}
+
+
 def dealt_parts(spark, clusters):
     rows = near_text.deals(spark.createDataFrame([(c, i) for c, own in clusters.items() for i in own], "cluster long, node long")).collect()
     parts = {}
