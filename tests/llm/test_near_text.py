@@ -117,6 +117,20 @@ def test_short_texts_with_one_shingle_in_common_are_no_cluster(spark):
     assert near == {600, 601}
 
 
+def test_small_blocks_are_tested_at_once_as_walked(monkeypatch):
+    rng, several = np.random.default_rng(9), 0
+    for _ in range(100):
+        sets = [np.setdiff1d(np.arange(30, dtype=np.uint64), rng.integers(0, 30, rng.integers(0, 12)).astype(np.uint64)) for _ in range(rng.integers(2, 20))]
+        odd, n = np.array([near_text.parities(x)[0] for x in sets]).view(np.int64), np.array([len(x) for x in sets])
+        columns = n, np.zeros_like(n), np.zeros_like(n), odd, np.zeros_like(n)
+        monkeypatch.setattr(near_text, "TABLE", 64)
+        once = near_text.neighbours(*columns)
+        monkeypatch.setattr(near_text, "TABLE", 0)
+        assert once.tolist() == near_text.neighbours(*columns).tolist()
+        several += 1 < len({*once.tolist()}) < len(sets)
+    assert several > 3
+
+
 def dealt_parts(spark, clusters):
     rows = near_text.deals(spark.createDataFrame([(c, i) for c, own in clusters.items() for i in own], "cluster long, node long")).collect()
     parts = {}
