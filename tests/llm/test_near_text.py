@@ -151,3 +151,56 @@ def test_large_groups_are_dealt_by_what_takes_fewer_sets(spark, monkeypatch):
     assert dealt_parts(spark, {c: range(2 * c, 2 * c + 3) for c in range(40)}) == 120  # a chain: by its clusters
     assert dealt_parts(spark, {c: [*range(20), 20 + c] for c in range(30)}) < 30 * 21 * 2  # near copies: by their group
     assert dealt_parts(spark, {1: range(50), 2: [60, 61]}) == 50 * 6 + 2
+
+
+def even_words(n, seed):
+    """Words whose shingles set each bit of both fingerprints in about half of them, so that a few edits turn many bits."""
+    rng, total = random.Random(seed), np.zeros(128, int)
+    words = [f"w{rng.randrange(5000)}" for _ in range(4)]
+    while len(words) < n:
+        tried = []
+        for k in [rng.randrange(5000) for _ in range(40)]:
+            h = simhash.shingles(" ".join([*words[-4:], f"w{k}"]), 5)
+            both = np.concatenate([h, (h ^ h >> np.uint64(29)) * near_text._ODD])
+            sums = total + np.unpackbits(both.view(np.uint8), bitorder="little").astype(int) * 2 - 1
+            tried.append((np.abs(sums).sum(), k, sums))
+        _, k, total = min(tried, key=lambda x: x[:2])
+        words.append(f"w{k}")
+    return words
+
+
+def test_similar_texts_with_far_fingerprints_are_linked(spark):
+    rows = []
+    for i in range(4):
+        words = even_words(200, i)
+        edited = [f"x{k}" if k in (30, 75, 120, 165) else w for k, w in enumerate(words)]  # 176 of 216 shingles are in both
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.doc_id: r for r in near_text.described(frame).collect()}
+    apart = [sum(((held[i][c] ^ held[i + 1][c]) % (1 << 64)).bit_count() for c in ("fp", "fp2")) for i in (0, 2, 4, 6)]
+    assert max(apart) > near_text.BITS
+    assert kept_by_stage(spark, frame) == plain_kept(rows) == [0, 2, 4, 6]
+
+
+def test_no_similar_pair_is_ruled_out_in_a_block():
+    rng, links, ruled_out = np.random.default_rng(10), 0, 0
+    for size in (40, 64, 65, 130, 500, 3000, 40_000):
+        pool, sets = rng.integers(0, 1 << 62, 2 * size).astype(np.uint64), []
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate([pool[: size - rng.integers(0, size // 3)], pool[size:][: rng.integers(0, size // 12 + 1)]])))
+        sets += [np.unique(rng.integers(0, 1 << 62, size + rng.integers(0, 9)).astype(np.uint64)) for _ in range(4)]
+        n, order = np.array([len(x) for x in sets]), rng.permutation(16)
+        sets, n = [sets[k] for k in order], n[order]
+        fps = rng.integers(-(1 << 63), 1 << 63, (2, 16))  # as far apart as any two texts'
+        odd = np.array([near_text.sized_parities(x) for x in sets], object)
+        found = near_text.tested(n, *fps, odd, np.zeros(16, int))(np.arange(16)[:, None], np.arange(16))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                common = len(np.intersect1d(x, y))
+                if 9 * common >= 4 * (len(x) + len(y)):
+                    assert found[i, j] and found[j, i]
+                    links += 1
+                elif common == 0 and size < 36_000:
+                    assert not found[i, j]
+                    ruled_out += 1
+    assert links > 50 and ruled_out > 50
